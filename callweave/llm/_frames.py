@@ -125,17 +125,17 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class Tokens:
     """The tokens of a batch of texts: ``hashes``, and ``offsets`` of each text's first token. A null text has none.
 
-    A token is a maximal run of characters outside SPACES; its hash is sum(code_point[i] * BASE**i) mod PRIME.
+    A token is a maximal run of characters outside SPACES (or ``breaks``, a flag per code point that must hold for a newline); its hash is sum(code_point[i] * BASE**i) mod PRIME.
     All work is on whole arrays; no text is cut short.
     """
 
     _pow = np.ones(0, dtype=np.int64)
     _inv = np.ones(0, dtype=np.int64)
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], breaks: np.ndarray = _IS_SPACE):
         joined = "\n".join(t or "" for t in texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        space = _IS_SPACE[points]
+        space = breaks[points]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]
         n = len(points)
