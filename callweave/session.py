@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -35,3 +36,24 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     return spark
+
+
+def shared_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. One of our own is set only where the session names none (local tests)."""
+    sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), f"callweave-checkpoints-{os.getuid()}")
+    sc.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint, which survives the loss of executors."""
+    shared_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
