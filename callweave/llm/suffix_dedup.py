@@ -18,6 +18,8 @@ Scale: every exchange is keyed by a minimiser, a segment or a document. Texts mo
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -249,32 +251,36 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
                 first, size = flat.field(0).to_numpy(), flat.field(1).to_numpy()
                 begin = tokens.offsets[:-1][owner] + first
                 content = [words[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + size).tolist())]
+                keys = [hashlib.blake2b(x, digest_size=16).digest() for x in content]
                 who = pa.array(owner + low)
-                arrays = [ids.take(who), digests.take(who), pa.array(first), flat.field(2), pa.array(content, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "first", "mini", "words"])
+                arrays = [ids.take(who), digests.take(who), pa.array(first), flat.field(2), pa.array(keys, pa.binary()), pa.array(content, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "first", "mini", "key", "words"])
 
     def refine(batches):
-        minis, pieces, times, ids = [], [], [], []
+        minis, keys, pieces, times, ids = [], [], [], [], []
         for batch in batches:
             minis.append(batch.column(0).to_numpy())
-            pieces += [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in batch.column(1).to_pylist()]
-            times.append(batch.column(2).to_numpy())
-            ids.append(batch.column(3).to_numpy())
+            keys += batch.column(1).to_pylist()
+            pieces += [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in batch.column(2).to_pylist()]
+            times.append(batch.column(3).to_numpy())
+            ids.append(batch.column(4).to_numpy())
         if pieces:
             of, a, b, first = repeated_spans(pieces, np.concatenate(times), np.concatenate(ids), min_words)
-            content = pa.array([pieces[i].astype("<u4").tobytes() for i in of.tolist()], pa.binary())
-            arrays = [pa.array(np.concatenate(minis)[of]), content, pa.array(a), pa.array(b), pa.array(first)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["mini", "words", "low", "high", "first_doc_id"])
+            key = pa.array([keys[i] for i in of.tolist()], pa.binary())
+            arrays = [pa.array(np.concatenate(minis)[of]), key, pa.array(a), pa.array(b), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["mini", "key", "low", "high", "first_doc_id"])
 
-    found = read.mapInArrow(find, "id long, digest long, first long, size long, mini long, times long").distinct()
+    # Repeated rows can make a minimiser look repeated; the transforms, which see each document once, settle that.
+    found = read.mapInArrow(find, "id long, digest long, first long, size long, mini long, times long")
     repeated = found.groupBy("mini").agg(F.sum("times").alias("n")).where("n > 1").select("mini")
-    left = found.join(repeated, "mini", "left_semi").groupBy("id", "digest").agg(F.collect_list(F.struct("first", "size", "mini")).alias("places"))
+    left = found.drop("times").join(repeated, "mini", "left_semi").groupBy("id", "digest").agg(F.collect_set(F.struct("first", "size", "mini")).alias("places"))
     with_text = read.dropDuplicates(["id", "digest"]).join(left, ["id", "digest"]).select("id", "digest", "text", "places")
-    placed = with_text.mapInArrow(words_of, "id long, digest long, first long, mini long, words binary")
+    placed = with_text.mapInArrow(words_of, "id long, digest long, first long, mini long, key binary, words binary")
 
-    merged = placed.groupBy("mini", "words").agg(F.count("*").alias("times"), F.min("id").alias("doc"))
-    spans = merged.select("mini", "words", "times", "doc").repartition("mini").mapInArrow(refine, "mini long, words binary, low long, high long, first_doc_id long")
-    back = placed.join(spans, ["mini", "words"]).select("id", "digest", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"), "first_doc_id")
+    # Words cross the network to be merged, and then to be refined; their places meet the outcome by a 128-bit key.
+    merged = placed.groupBy("mini", "key", "words").agg(F.count("*").alias("times"), F.min("id").alias("doc"))
+    spans = merged.select("mini", "key", "words", "times", "doc").repartition("mini").mapInArrow(refine, "mini long, key binary, low long, high long, first_doc_id long")
+    back = placed.drop("words").join(spans, ["mini", "key"]).select("id", "digest", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"), "first_doc_id")
     return joined_spans(back)
 
 
