@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,11 +25,45 @@ def excludes(include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> tu
     return (*[p for p in DEFAULT_EXCLUDES if p not in include], *exclude)
 
 
+def _underscored(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(path, content, modificationTime) of files like __init__.py, which Spark's own sources take for hidden ones and leave out.
+
+    The driver lists their names; tasks read them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getPath().getName().startswith("_") and fnmatch.fnmatch(status.getPath().getName(), glob):
+            found.append((status.getPath().toString(), status.getModificationTime()))
+    names = spark.createDataFrame(found, "path string, ms long").repartition(max(1, len(found) // 1000))
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_bytes_of(p) for p in part.column(0).to_pylist()], pa.binary()), part.column(1)], names=["path", "content", "ms"])
+
+    return names.mapInArrow(read, "path string, content binary, ms long").select("path", "content", F.timestamp_millis("ms").alias("modificationTime"))
+
+
+def _bytes_of(path: str) -> bytes:
+    if path.startswith("file:"):
+        with open("/" + path[len("file:") :].lstrip("/"), "rb") as f:
+            return f.read()
+    fs, inner = pa_fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(inner) as f:
+        return f.read()
+
+
 def scan_sources(spark: SparkSession, root: str, patterns: tuple[str, ...] = DEFAULT_EXCLUDES, glob: str = "*.py") -> DataFrame:
     """(file, content, modified): files below ``root`` whose path holds none of ``patterns``. Excluded files are never read."""
+    importable(spark)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     base = root if "://" in root or root.startswith("file:") else "file:" + root
-    rows = read.where(~is_excluded("path", patterns))
+    rows = read.select("path", "content", "modificationTime").unionByName(_underscored(spark, root, glob))
+    rows = rows.where(~is_excluded("path", patterns))
     return rows.select(relative_path("path", base).alias("file"), "content", F.col("modificationTime").alias("modified"))
 
 

@@ -108,12 +108,14 @@ class CodeGraph:
         return graph
 
     def write(self, folder: str, tables: list[str] | None = None) -> dict[str, float]:
-        """Writes tables, typed even where empty, each to a new folder that then takes the old one's place. Seconds by table."""
-        took = {}
+        """Writes tables, typed even where empty: all of them to new folders, which then take the old ones' places, so the graph may be read from ``folder`` itself. Seconds by table."""
+        took, fresh = {}, {}
         for name in tables or TABLES:
             began = time.perf_counter()
-            swap_in(self[name], table_path(folder, name))
+            fresh[name] = write_beside(self[name], table_path(folder, name))
             took[name] = time.perf_counter() - began
+        for name, path in fresh.items():
+            take_place(self.spark, path, table_path(folder, name))
         return took
 
 
@@ -131,11 +133,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def swap_in(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet folder that ``df`` may itself be read from."""
-    spark = df.sparkSession
+def write_beside(df: DataFrame, path: str) -> str:
     fresh = f"{path}.{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(fresh)
+    return fresh
+
+
+def take_place(spark: SparkSession, fresh: str, path: str) -> None:
     fs, new = _fs(spark, fresh)
     old = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs.delete(old, True)
@@ -144,6 +148,11 @@ def swap_in(df: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def swap_in(df: DataFrame, path: str) -> None:
+    """Replaces a Parquet folder that ``df`` may itself be read from."""
+    take_place(df.sparkSession, write_beside(df, path), path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame | None:
     """One table, or None where it is missing. ``columns`` prunes the scan."""
     path = table_path(folder, name)
