@@ -7,7 +7,6 @@ import time
 from pyspark.sql import SparkSession
 
 from callweave.operators.resolve import build_graph
-from callweave.session import checkpointed
 from callweave.sources.scan import DEFAULT_EXCLUDES, analyse, scan_sources, summary
 from callweave.sources.store import CodeGraph, path_exists, read_table, swap_in, table_path
 from callweave.streaming.refresh import refresh
@@ -27,16 +26,12 @@ def analyze(spark: SparkSession, root: str, folder: str, patterns: tuple[str, ..
     files = scan_sources(spark, root, patterns)
     store = analysis_path(folder)
     if incremental and path_exists(spark, store) and read_table(spark, folder, "files") is not None:
-        old = spark.read.parquet(store)
-        graph, status = refresh(CodeGraph.from_parquet(spark, folder), files, old, delete_missing, compat)
+        graph, status, whole = refresh(CodeGraph.from_parquet(spark, folder), files, spark.read.parquet(store), delete_missing, compat, source_lines)
         counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
-        changed = status.where("status in ('new', 'changed')").selectExpr("path as file")
-        gone = status.where("status <> 'unchanged'" if delete_missing else "status not in ('unchanged', 'deleted')").selectExpr("path as file")
-        fresh = analyse(files.join(changed, "file", "left_semi"), compat, source_lines)
-        whole = checkpointed(old.join(gone, "file", "left_anti").unionByName(fresh))
         took["parse"] = time.perf_counter() - began
-        graph.write(folder)
-        swap_in(whole, store)
+        if set(counts) - {"unchanged"}:
+            graph.write(folder)
+            swap_in(whole, store)
         return {"status": counts, "seconds": took | {"total": time.perf_counter() - began}}
     swap_in(analyse(files, compat, source_lines), store)
     analysis = spark.read.parquet(store)

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.operators.mutate import delete_files, merged
-from callweave.operators.resolve import build_graph, resolve_calls
-from callweave.functions import columns as C
+from callweave.operators.resolve import build_graph
 from callweave.session import checkpointed
 from callweave.sources.scan import analyse
-from callweave.sources.store import CodeGraph, conform
+from callweave.sources.store import CodeGraph
 
 
 def compare(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -23,34 +22,24 @@ def compare(current: DataFrame, stored: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", status.alias("status"))
 
 
-def refresh(graph: CodeGraph, files: DataFrame, analysis_store: DataFrame | None = None, delete_missing: bool = False, compat: bool = False) -> tuple[CodeGraph, DataFrame]:
-    """The graph after ``files`` (file, content, modified) took the place of what it knew, and the table of statuses.
+def refresh(graph: CodeGraph, files: DataFrame, analysis_store: DataFrame | None = None, delete_missing: bool = False, compat: bool = False, source_lines: int | None = None) -> tuple[CodeGraph, DataFrame, DataFrame]:
+    """The graph after ``files`` (file, content, modified) took the place of what it knew, the table of statuses, and the analysis.
 
-    Only changed and new files are parsed. Calls cross files by name, so calls between kept and parsed files are resolved anew from
-    ``analysis_store``, the written analysis of the kept files, where it is given; otherwise kept calls into changed files are lost
-    with the functions that they pointed to.
+    Only changed and new files are parsed. With ``analysis_store``, the written analysis of the graph's files, the result equals a full
+    rebuild: names are resolved over kept and new records together. Without it, rows of kept files stay as they are, and edges between kept and
+    changed files go with the nodes that they pointed to.
     """
     graph.check_writable()
     hashed = files.withColumn("content_hash", F.sha2("content", 256))
     status = checkpointed(compare(hashed.select(F.col("file").alias("path"), "content_hash"), graph["files"]))
     parse = status.where("status in ('new', 'changed')").select(F.col("path").alias("file"))
-    analysis = checkpointed(analyse(files.join(parse, "file", "left_semi"), compat))
-    leaving = ["changed", "deleted"] if delete_missing else ["changed"]
-    kept = delete_files(graph, status.where(F.col("status").isin(leaving)))
-    if analysis_store is not None:
-        gone = status.where(F.col("status") != "unchanged").select(F.col("path").alias("file"))
-        whole = analysis_store.join(gone, "file", "left_anti").unionByName(analysis)
-        if not delete_missing:
-            deleted = status.where("status = 'deleted'").select(F.col("path").alias("file"))
-            whole = whole.unionByName(analysis_store.join(deleted, "file", "left_semi"))
-        fresh = build_graph(analysis)
-        out = merged(kept, fresh)
-        calls = whole.select("file", F.explode("calls").alias("r")).select("file", "r.*")
-        resolved = resolve_calls(calls, out["functions"]).select(
-            C.function_key("caller_file", "caller", "caller_start_line").alias("src"), C.function_key("callee_file", "callee", "callee_start_line").alias("dst"), "call_line"
-        )
-        return out.replaced(calls=conform(resolved, "calls")), status
-    return merged(kept, build_graph(analysis)), status
+    analysis = checkpointed(analyse(files.join(parse, "file", "left_semi"), compat, source_lines))
+    leaving = ["new", "changed", "deleted"] if delete_missing else ["new", "changed"]
+    gone = status.where(F.col("status").isin(leaving)).select("path")
+    if analysis_store is None:
+        return merged(delete_files(graph, gone), build_graph(analysis)), status, analysis
+    whole = analysis_store.join(gone.withColumnRenamed("path", "file"), "file", "left_anti").select(*analysis.columns).unionByName(analysis)
+    return build_graph(whole), status, whole
 
 
 def changed_files_stream(spark: SparkSession, root: str, handle: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*.py"):
