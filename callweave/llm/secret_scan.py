@@ -1,6 +1,7 @@
 """Secret scan by token efficiency: random strings take far more tokens of a text vocabulary than words do.
 
-Candidates are runs of at least ``min_length`` characters of the base64, hex and URL-safe alphabets that mix letters and digits. After known digests and
+Candidates are runs of at least ``min_length`` characters of the base64, hex and URL-safe alphabets that mix letters and digits; "=" belongs to one
+as padding at its end alone, so that the name in "name=secret" does not. After known digests and
 identifiers are set aside, a candidate is encoded with a byte-pair vocabulary; fewer than ``max_ratio`` characters per token expose it.
 
 Scale: one pass over whole texts, without a shuffle; known digests of a table are removed by a join of the few candidates alone.
@@ -26,7 +27,7 @@ MIN_LENGTH = 16
 MAX_RATIO = 2.2
 
 _INSIDE = np.zeros(256, dtype=bool)
-_INSIDE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")] = True
+_INSIDE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[list(b"0123456789")] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -71,10 +72,13 @@ def candidates(texts: list[str | None], min_length: int):
     digits, letters = (np.concatenate(([0], np.cumsum(t[data], dtype=np.int64))) for t in (_DIGIT, _LETTER))
     mixed = (digits[end] > digits[start]) & (letters[end] > letters[start])
     begins = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     for s, e in zip(start[mixed].tolist(), end[mixed].tolist()):
         i = int(np.searchsorted(begins, s, side="right")) - 1
-        head = joined[begins[i] : s].decode("utf-8", "surrogatepass")
-        yield i, len(head), joined[s:e].decode(), head[-24:]
+        for _ in range(2):  # base64 padding
+            e += joined[e : e + 1] == b"="
+        before = joined[max(int(begins[i]), s - 96) : s].decode("utf-8", "ignore")
+        yield i, int(chars[s] - chars[begins[i]]), joined[s:e].decode(), before[-24:]
 
 
 def secret_scan(
