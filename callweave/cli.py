@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("impact", help="who is affected by a function, and what it uses")
     i.add_argument("target", metavar="file:function")
     i.add_argument("--direction", choices=("upstream", "downstream", "both"), default="upstream")
-    i.add_argument("--max-depth", type=int, default=5)
+    i.add_argument("--max-depth", default=5, type=int)
     t = sub.add_parser("trace", help="who uses a variable")
     t.add_argument("target", metavar="file:line")
     t.add_argument("--variable", required=True)
@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("visualize", help="a Mermaid chart of a module, or of a function in it")
     v.add_argument("file")
     v.add_argument("--function")
-    v.add_argument("--max-depth", type=int, default=3)
+    v.add_argument("--max-depth", default=3, type=int)
     v.add_argument("--output")
     return p
 
@@ -89,7 +89,3 @@ def show(df) -> None:
     print("\t".join(df.columns))
     for r in rows:
         print("\t".join("" if x is None else str(x) for x in r))
-
-
-if __name__ == "__main__":
-    sys.exit(main())

@@ -15,11 +15,11 @@ from callweave.operators.traverse import cycles, min_depth, reach
 from callweave.sources.schemas import EDGES, NODES
 from callweave.sources.store import CodeGraph, tagged_counts
 
-FUNCTION = ("name", "file", "start_line", "end_line", "is_public")
+FUNCTION = "name file start_line end_line is_public".split()
 
 
-def _cols(prefix: str, *names: str) -> list:
-    return [F.col(f"{prefix}_{n}").alias(n) for n in names]
+def _cols(prefix: str, names: str) -> list:
+    return [F.col(f"{prefix}_{n}").alias(n) for n in names.split()]
 
 
 # 1. Functions
@@ -27,12 +27,12 @@ def _cols(prefix: str, *names: str) -> list:
 
 def functions_in_file(g: CodeGraph, file: str) -> DataFrame:
     rows = hop(g, "contains_function").where(F.col("a_path") == file)
-    return rows.select(*_cols("b", "name", "start_line", "end_line", "is_public")).orderBy("start_line", "name")
+    return rows.select(*_cols("b", "name start_line end_line is_public")).orderBy("start_line", "name")
 
 
 def functions_in_files(g: CodeGraph, files: list[str]) -> DataFrame:
     rows = hop(g, "contains_function").where(F.col("a_path").isin(files))
-    return rows.select(*_cols("b", "file", "name", "start_line", "end_line")).orderBy("file", "start_line", "name")
+    return rows.select(*_cols("b", "file name start_line end_line")).orderBy("file", "start_line", "name")
 
 
 def all_files(g: CodeGraph) -> DataFrame:
@@ -64,7 +64,7 @@ def most_called_functions(g: CodeGraph, n: int = 20) -> DataFrame:
     """By distinct callers, a function node being its key. Only the winners are joined with their names."""
     best = top(g["calls"].groupBy("dst").agg(F.countDistinct("src").alias("callers")), n, F.col("callers").desc(), "dst")
     rows = best.join(nodes(g, "functions", "b"), F.col("dst") == F.col("b_id"))
-    return rows.select(F.col("dst").alias("id"), *_cols("b", "name", "file"), "callers").orderBy(F.col("callers").desc(), "id")
+    return rows.select(F.col("dst").alias("id"), *_cols("b", "name file"), "callers").orderBy(F.col("callers").desc(), "id")
 
 
 def dead_code(g: CodeGraph) -> DataFrame:
@@ -77,17 +77,17 @@ def dead_code(g: CodeGraph) -> DataFrame:
 
 def classes_in_file(g: CodeGraph, file: str) -> DataFrame:
     rows = hop(g, "contains_class").where(F.col("a_path") == file)
-    return rows.select(*_cols("b", "name", "start_line", "end_line", "is_public")).orderBy("start_line", "name")
+    return rows.select(*_cols("b", "name start_line end_line is_public")).orderBy("start_line", "name")
 
 
 def methods_of_class(g: CodeGraph, class_name: str) -> DataFrame:
     rows = hop(g, "method_of").where(F.col("b_name") == class_name)
-    return rows.select(*_cols("a", "name", "file", "start_line", "end_line", "is_public")).orderBy("start_line", "name", "file")
+    return rows.select(*_cols("a", "name file start_line end_line is_public")).orderBy("start_line", "name", "file")
 
 
 def attributes_of_class(g: CodeGraph, class_name: str) -> DataFrame:
     rows = hop(g, "has_attribute").where(F.col("a_name") == class_name)
-    return rows.select(*_cols("b", "name", "type_hint", "definition_line", "is_class_attribute")).orderBy("definition_line", "name")
+    return rows.select(*_cols("b", "name type_hint definition_line is_class_attribute")).orderBy("definition_line", "name")
 
 
 def bases_of_class(g: CodeGraph, class_name: str) -> DataFrame:
@@ -96,7 +96,7 @@ def bases_of_class(g: CodeGraph, class_name: str) -> DataFrame:
 
 def class_with_methods(g: CodeGraph, class_name: str) -> DataFrame:
     rows = hop(g, "method_of").where(F.col("b_name") == class_name).groupBy("b_id", "b_name", "b_file")
-    return rows.agg(sorted_list("a_name").alias("methods"), F.count("*").alias("method_count")).select(*_cols("b", "name", "file"), "methods", "method_count")
+    return rows.agg(sorted_list("a_name").alias("methods"), F.count("*").alias("method_count")).select(*_cols("b", "name file"), "methods", "method_count")
 
 
 # 3. Decorators
@@ -104,12 +104,12 @@ def class_with_methods(g: CodeGraph, class_name: str) -> DataFrame:
 
 def functions_with_decorator(g: CodeGraph, decorator: str) -> DataFrame:
     rows = hop(g, "decorated_by").where(F.col("b_name") == decorator)
-    return rows.select(*_cols("a", "name", "file", "start_line"), F.col("b_arguments").alias("arguments")).orderBy("file", "start_line", "name")
+    return rows.select(*_cols("a", "name file start_line"), F.col("b_arguments").alias("arguments")).orderBy("file", "start_line", "name")
 
 
 def classes_with_decorator(g: CodeGraph, decorator: str) -> DataFrame:
     rows = hop(g, "class_decorated_by").where(F.col("b_name") == decorator)
-    return rows.select(*_cols("a", "name", "file", "start_line")).orderBy("file", "start_line", "name")
+    return rows.select(*_cols("a", "name file start_line")).orderBy("file", "start_line", "name")
 
 
 def decorators_in_file(g: CodeGraph, file: str) -> DataFrame:
@@ -122,7 +122,7 @@ def decorators_in_file(g: CodeGraph, file: str) -> DataFrame:
 
 def _exception_functions(g: CodeGraph, exception: str, context: str) -> DataFrame:
     rows = hop(g, "handles_exception").where((F.col("b_name") == exception) & (F.col("r_context") == context))
-    return rows.select(*_cols("a", "name", "file"), F.col("r_line_number").alias("line_number")).orderBy("file", "line_number", "name")
+    return rows.select(*_cols("a", "name file"), F.col("r_line_number").alias("line_number")).orderBy("file", "line_number", "name")
 
 
 def functions_raising(g: CodeGraph, exception: str) -> DataFrame:
@@ -148,7 +148,7 @@ def exceptions_of_function(g: CodeGraph, file: str, function: str) -> DataFrame:
 
 def imports_in_file(g: CodeGraph, file: str) -> DataFrame:
     rows = hop(g, "has_import").where(F.col("a_path") == file)
-    return rows.select(*_cols("b", "imported_name", "import_type", "alias", "line_number", "is_relative")).orderBy("line_number", "imported_name")
+    return rows.select(*_cols("b", "imported_name import_type alias line_number is_relative")).orderBy("line_number", "imported_name")
 
 
 def files_importing(g: CodeGraph, name: str) -> DataFrame:
@@ -165,7 +165,7 @@ def import_statistics(g: CodeGraph) -> DataFrame:
 
 def variables_in_file(g: CodeGraph, file: str) -> DataFrame:
     rows = hop(g, "contains_variable").where(F.col("a_path") == file)
-    return rows.select(*_cols("b", "name", "definition_line", "scope")).orderBy("definition_line", "name")
+    return rows.select(*_cols("b", "name definition_line scope")).orderBy("definition_line", "name")
 
 
 def variables_named_like(g: CodeGraph, part: str) -> DataFrame:
@@ -197,7 +197,7 @@ def functions_per_file(g: CodeGraph, n: int = 20) -> DataFrame:
 
 
 def most_decorated_functions(g: CodeGraph, n: int = 20) -> DataFrame:
-    rows = hop(g, "decorated_by").groupBy(*_cols("a", "name", "file")).agg(F.count("*").alias("decorator_count"), sorted_set("b_name").alias("decorators"))
+    rows = hop(g, "decorated_by").groupBy(*_cols("a", "name file")).agg(F.count("*").alias("decorator_count"), sorted_set("b_name").alias("decorators"))
     return top(rows, n, F.col("decorator_count").desc(), "name", "file")
 
 
@@ -208,7 +208,7 @@ def classes_per_file(g: CodeGraph) -> DataFrame:
 
 def largest_classes(g: CodeGraph, n: int = 20) -> DataFrame:
     """The winners by count first; their lists of methods are then gathered for them alone."""
-    counts = hop(g, "method_of").groupBy(*_cols("b", "name", "file")).agg(F.count("*").alias("method_count"))
+    counts = hop(g, "method_of").groupBy(*_cols("b", "name file")).agg(F.count("*").alias("method_count"))
     best = top(counts, n, F.col("method_count").desc(), "name", "file")
     rows = hop(g, "method_of").join(F.broadcast(best), (F.col("b_name") == best["name"]) & (F.col("b_file") == best["file"]))
     lists = rows.groupBy("name", "file", "method_count").agg(sorted_list("a_name").alias("methods"))
@@ -231,7 +231,7 @@ def exception_coverage(g: CodeGraph, n: int = 20) -> DataFrame:
 
 def private_methods_without_handling(g: CodeGraph) -> DataFrame:
     rows = without(hop(g, "method_of").where("not a_is_public"), g, "handles_exception", "a_id")
-    return rows.select(F.col("b_name").alias("class_name"), *_cols("a", "name", "file", "start_line")).orderBy("class_name", "file", "start_line", "name")
+    return rows.select(F.col("b_name").alias("class_name"), *_cols("a", "name file start_line")).orderBy("class_name", "file", "start_line", "name")
 
 
 def complex_classes(g: CodeGraph, more_than: int = 10) -> DataFrame:
@@ -244,7 +244,7 @@ def complex_classes(g: CodeGraph, more_than: int = 10) -> DataFrame:
 
 
 def classes_with_most_methods(g: CodeGraph, n: int = 20) -> DataFrame:
-    rows = hop(g, "method_of").groupBy("b_id", *_cols("b", "name", "file")).agg(F.countDistinct("a_id").alias("method_count")).withColumnRenamed("b_id", "id")
+    rows = hop(g, "method_of").groupBy("b_id", *_cols("b", "name file")).agg(F.countDistinct("a_id").alias("method_count")).withColumnRenamed("b_id", "id")
     return top(rows, n, F.col("method_count").desc(), "id")
 
 

@@ -15,6 +15,7 @@ from callweave.sources.store import CodeGraph
 
 #: Frontiers of at most so many rows (two short strings each) are broadcast.
 BROADCAST_ROWS = 50_000
+DIRECTIONS = "upstream downstream both".split()
 
 
 def levels(pairs: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
@@ -49,14 +50,14 @@ def named_calls(graph: CodeGraph) -> DataFrame:
     return rows.withColumns({"u": F.struct(F.col("caller_file").alias("file"), F.col("caller").alias("name")), "v": F.struct(F.col("callee_file").alias("file"), F.col("callee").alias("name"))})
 
 
-def impact(graph: CodeGraph, file: str, function: str, direction: str = "upstream", max_depth: int = 5) -> DataFrame:
+def impact(graph: CodeGraph, file, function, direction="upstream", max_depth=5) -> DataFrame:
     """(file, function, line, type, depth): every call row at the nodes nearer than ``max_depth``, callers upstream and callees downstream.
 
     Functions are told apart by (file, name), so two of one name in a file are one node. A function is listed once per call, hence
     several times when it calls several reached functions, and a cycle can list the start again. ``max_depth`` 0 gives no row.
     """
-    if direction not in ("upstream", "downstream", "both"):
-        raise ValueError(f"direction must be upstream, downstream or both, not {direction!r}")
+    if direction not in DIRECTIONS:
+        raise ValueError(f"no such direction: {direction!r}; there are {', '.join(DIRECTIONS)}")
     if direction == "both":
         ups = impact(graph, file, function, "upstream", max_depth)
         return ups.unionByName(impact(graph, file, function, "downstream", max_depth))

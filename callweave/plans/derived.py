@@ -40,10 +40,15 @@ def derived_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
         return paths.select("path", F.lit("python").alias("language"), F.sha2("path", 256).alias("content_hash"))
 
     def functions() -> DataFrame:
-        return t("part").select(
-            fn("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"),
-            (F.col("p_size") + F.col("p_partkey") % 40).alias("end_line"), (F.col("p_size") % 2 == 0).alias("is_public"), F.col("p_type").alias("source_code"),
+        parts = t("part").select(
+            fn("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").cast("long").alias("start_line"),
+            (F.col("p_size") + F.col("p_partkey") % 40).cast("long").alias("end_line"), (F.col("p_size") % 2 == 0).alias("is_public"), F.col("p_type").alias("source_code"),
         )
+        # An entry point per nation, which nothing calls.
+        mains = t("nation").select(
+            key("fn_main", "n_nationkey"), F.lit("main"), F.col("n_name"), F.lit(1).cast("long"), F.lit(9).cast("long"), F.lit(True), F.lit("")
+        )
+        return parts.union(mains)
 
     def nations() -> DataFrame:
         return t("nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -120,7 +125,9 @@ def derived_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
         return a.join(b, ["l_orderkey", "a_line"])
 
     def calls() -> DataFrame:
-        return lines().select(fn("a_part").alias("src"), fn("b_part").alias("dst"), F.col("a_line").alias("call_line"))
+        among = lines().select(fn("a_part").alias("src"), fn("b_part").alias("dst"), F.col("a_line").alias("call_line"))
+        starts = t("nation").where("n_nationkey % 2 = 0").join(t("part").select("p_partkey"), F.col("n_nationkey") == F.col("p_partkey"))
+        return among.union(starts.select(key("fn_main", "n_nationkey"), fn("p_partkey"), F.lit(2)))
 
     def depends_on() -> DataFrame:
         rows = lines().where("a_supp <> b_supp").groupBy("a_supp", "b_supp").agg(F.min("a_line").alias("line_number"))
@@ -189,6 +196,7 @@ files AS (
 ), functions AS (
   SELECT 'fn_' || p_partkey AS id, p_name AS name, p_brand AS file, CAST(p_size AS BIGINT) AS start_line, p_size + p_partkey % 40 AS end_line, p_size % 2 = 0 AS is_public,
     p_type AS source_code FROM part
+  UNION ALL SELECT 'fn_main' || n_nationkey, 'main', n_name, 1, 9, true, '' FROM nation
 ), classes AS (
   SELECT 'cls_' || s.s_suppkey AS id, s.s_name AS name, n_name AS file, s.s_suppkey AS start_line, s.s_suppkey + 9 AS end_line, coalesce(b.s_name, '') AS bases, s.s_acctbal >= 0 AS is_public
   FROM supplier s JOIN nation ON s.s_nationkey = n_nationkey LEFT JOIN supplier b ON b.s_suppkey = s.s_suppkey // 2 AND s.s_suppkey > 0
@@ -217,7 +225,9 @@ files AS (
 ), lines AS (
   SELECT a.l_linenumber AS a_line, a.l_partkey AS a_part, b.l_partkey AS b_part, a.l_suppkey AS a_supp, b.l_suppkey AS b_supp
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-), calls AS (SELECT 'fn_' || a_part AS src, 'fn_' || b_part AS dst, CAST(a_line AS BIGINT) AS call_line FROM lines
+), calls AS (
+  SELECT 'fn_' || a_part AS src, 'fn_' || b_part AS dst, CAST(a_line AS BIGINT) AS call_line FROM lines
+  UNION ALL SELECT 'fn_main' || n_nationkey, 'fn_' || p_partkey, 2 FROM nation JOIN part ON n_nationkey = p_partkey WHERE n_nationkey % 2 = 0
 ), refs AS (
   SELECT 'fn_' || l_partkey AS src, 'var_' || o_custkey AS dst, CAST(l_linenumber AS BIGINT) AS line_number, CASE WHEN o_orderstatus = 'O' THEN 'use' ELSE 'define' END AS context
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey

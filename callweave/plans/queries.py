@@ -21,8 +21,8 @@ from callweave.sources.schemas import EDGES, NODES
 from callweave.sources.store import CodeGraph, dangling_edges, duplicate_keys, export_edges
 from callweave.streaming.refresh import compare
 
-FILE, FILES, FUNCTION, WORD = "Brand#2", ["Brand#2", "Brand#17"], "small ring", "red"
-CLASS, CLASS_FILE, EVENT, SEGMENT, LINK = "Supplier#000000001", "NATION_20", "error", "BUILDING", "/de"
+FILE, FILES, FUNCTION, WORD = "Brand#22", ["Brand#22", "Brand#2"], "red rod", "red"
+CLASS, CLASS_FILE, EVENT, SEGMENT, LINK = "Supplier#000000000", "NATION_15", "error", "BUILDING", "/de"
 DEPTH, SHALLOW = 3, 2
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,7 +161,7 @@ add("a9_most_called", P.most_called, f"SELECT b.name, b.file, count(*) AS call_c
 # Point queries
 add("a1_callers", lambda g: P.callers(g, FILE, FUNCTION), f"SELECT a.file, a.name, e.call_line FROM {hops('calls')} WHERE b.file = '{FILE}' AND b.name = '{FUNCTION}'")
 add("a2_callees", lambda g: P.callees(g, FILE, FUNCTION), f"SELECT b.file, b.name, e.call_line FROM {hops('calls')} WHERE a.file = '{FILE}' AND a.name = '{FUNCTION}'")
-add("a3_variable_usage", lambda g: P.variable_usage(g, "HOUSEHOLD", "Customer#000000000", 0), f"SELECT a.file, a.name, e.line_number AS line FROM {hops('references')} WHERE b.file = 'HOUSEHOLD' AND b.name = 'Customer#000000000' AND b.definition_line = 0 AND e.context = 'use'")
+add("a3_variable_usage", lambda g: P.variable_usage(g, "FURNITURE", "Customer#000000073", 73), f"SELECT a.file, a.name, e.line_number AS line FROM {hops('references')} WHERE b.file = 'FURNITURE' AND b.name = 'Customer#000000073' AND b.definition_line = 73 AND e.context = 'use'")
 add("a4_function", lambda g: P.get_function(g, FILE, FUNCTION), f"SELECT * FROM functions WHERE file = '{FILE}' AND name = '{FUNCTION}' ORDER BY start_line, id LIMIT 1")
 add("a5_functions", lambda g: P.functions_in_file(g, FILE), f"SELECT * FROM functions WHERE file = '{FILE}'")
 add("a6_class", lambda g: P.get_class(g, CLASS_FILE, CLASS).drop("source_code"), f"SELECT * FROM classes WHERE file = '{CLASS_FILE}' AND name = '{CLASS}' ORDER BY start_line, id LIMIT 1")

@@ -50,7 +50,7 @@ def function_chart(graph: CodeGraph, file: str, function: str, max_depth: int =
     return "\n".join([*lines, *(f"    {s}" for s in STYLES)])
 
 
-def module_chart(graph: CodeGraph, file: str, include_imports: bool = True) -> str:
+def module_chart(graph: CodeGraph, file, include_imports=True) -> str:
     """All functions of a file and what they call; functions of other files are rounded, and left out without ``include_imports``."""
     own = sorted((r.name, r.start_line) for r in functions_in_file(graph, file).collect())
     if not own:

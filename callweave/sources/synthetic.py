@@ -9,16 +9,14 @@ from callweave.functions.columns import synthetic_key
 from callweave.sources.schemas import TABLES
 from callweave.sources.store import CodeGraph, conform
 
-SCALES = {
-    "small": {"files": 100, "functions": 3_000, "classes": 500, "variables": 2_000, "imports": 1_000, "decorators": 500, "attributes": 800, "exceptions": 300},
-    "medium": {"files": 1_000, "functions": 30_000, "classes": 5_000, "variables": 20_000, "imports": 10_000, "decorators": 5_000, "attributes": 8_000, "exceptions": 3_000},
-    "large": {"files": 10_000, "functions": 300_000, "classes": 50_000, "variables": 200_000, "imports": 100_000, "decorators": 50_000, "attributes": 80_000, "exceptions": 30_000},
-}
+#: Nodes per 100 files, and hundreds of files by scale.
+SHARES = dict(files=100, functions=3_000, classes=500, variables=2_000, imports=1_000, decorators=500, attributes=800, exceptions=300)
+SCALES = dict(small=1, medium=10, large=100)
 
 
 def generate(spark: SparkSession, scale: str = "small", seed: int = 42) -> CodeGraph:
     """A graph of the given scale; the same seed gives the same graph. Every row is a function of its number: nothing is made on the driver."""
-    n = SCALES[scale]
+    n = {kind: share * SCALES[scale] for kind, share in SHARES.items()}
     draws: dict[str, int] = {}
 
     def draw(kind: str, below: int):
