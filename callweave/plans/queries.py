@@ -16,6 +16,7 @@ from callweave.operators import traverse as V
 from callweave.plans.derived import derived_graph, sql
 from callweave.plans.sources_from_parts import SQL as PLACED
 from callweave.plans.sources_from_parts import part_sources
+from callweave.session import checkpointed
 from callweave.sources import scan
 from callweave.sources.schemas import EDGES, NODES
 from callweave.sources.store import CodeGraph, dangling_edges, duplicate_keys, export_edges
@@ -225,7 +226,7 @@ def x8_extract_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j2_resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analysis = _analysis(spark, sf_dir)
+    analysis = checkpointed(_analysis(spark, sf_dir))  # three reads, one parse
     return R.resolve_calls(scan.records(analysis, "calls"), scan.records(analysis, "functions"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import warnings
 from collections.abc import Iterator
 
@@ -38,21 +39,31 @@ class _File:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             self.tree = ast.parse(text)
-        self.lines = text.splitlines()
+        self.lines = re.split(r"\r\n|\r|\n", text)  # as the syntax tree counts lines
         self.compat = compat
         self.nodes = list(preorder(self.tree))
         self.functions = [n for n in self.nodes if isinstance(n, FUNCTION_NODES)]
         self.classes = [n for n in self.nodes if isinstance(n, ast.ClassDef)]
+        self._around, self._inside = self._index(0), self._index(1)
 
     def source(self, node: ast.AST) -> str:
         return "\n".join(self.lines[node.lineno - 1 : node.end_lineno])
 
     def outermost(self, line: int, strict: bool = False):
         """The first function, in order of appearance, whose lines hold ``line``; with ``strict`` its first line does not count."""
+        return (self._inside if strict else self._around)[line]
+
+    def _index(self, skip: int) -> list:
+        """For each line its outermost function. Every line is set once, so the cost is the file's length however many functions there are."""
+        out: list = [None] * (len(self.lines) + 2)
         for f in self.functions:
-            if (f.lineno < line if strict else f.lineno <= line) and line <= f.end_lineno:
-                return f
-        return None
+            at = f.lineno + skip
+            if at <= f.end_lineno and out[at] is not None and out[f.end_lineno] is out[at]:
+                continue  # inside a function that is set already
+            for line in range(at, f.end_lineno + 1):
+                if out[line] is None:
+                    out[line] = f
+        return out
 
 
 def preorder(tree: ast.AST) -> Iterator[ast.AST]:

@@ -8,7 +8,7 @@ import pytest
 from callweave.operators.resolve import build_graph, containing_function, inherits_edges
 from callweave.plans.analyze import analyze
 from callweave.session import checkpointed
-from callweave.sources.pyparse import analyse_bytes, analyse_text
+from callweave.sources.pyparse import _File, analyse_bytes, analyse_text
 from callweave.sources.scan import analyse, excludes, from_texts, scan_sources, summary
 from callweave.sources.store import CodeGraph, check_unique, dangling_edges
 
@@ -78,6 +78,16 @@ def test_calls_belong_to_the_outermost_function():
     assert values("calls", "caller_function", "called_name") == [("area", "square"), ("_make", "Circle"), ("_make", "Bad"), ("square", "inner"), ("square", "inner")]
 
 
+def test_outermost_against_a_plain_search():
+    """Also functions that share lines, and lines that other separators would cut."""
+    text = SHAPES + "f = 'a\x0cb'\ndef one(): pass\nasync def two(): g(); h()\ndef three():\n    def four(): return g()\n    class C:\n        def m(self): return h()\n    return g()\n"
+    f = _File(text, False)
+    for line in range(1, len(f.lines) + 1):
+        for strict in (False, True):
+            plain = next((n for n in f.functions if (n.lineno < line if strict else n.lineno <= line) and line <= n.end_lineno), None)
+            assert f.outermost(line, strict) is plain
+
+
 def test_variables():
     got = values("variables", "name", "scope")
     assert ("LIMIT", "module") in got and ("kind", "module") in got
