@@ -27,7 +27,9 @@ PER_PARTITION = 50_000
 FAN_IN = 8
 MAX_ROUNDS = 6
 
-STATE = "grp long, bin_part long, bin int, doc_id long, piece int, n_tokens int, start int, open boolean, gap long, bins long, dff array<long>"
+#: No number is ever null, since pandas would get the whole column as floats: a group's statistics have bin -1, a row without an id has no_id.
+STATE = "grp long, bin_part long, bin int, doc_id long, no_id boolean, piece int, n_tokens int, start int, open boolean, gap long, bins long, dff array<long>"
+PIECE = ["doc_id", "no_id", "piece", "n_tokens"]
 
 
 def dff_values(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -87,7 +89,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _packed(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pieces = pieces.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
+    pieces = pieces.sort_values(["n_tokens", "no_id", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     pieces["bin"], pieces["start"] = best_fit_decreasing(pieces["n_tokens"].to_numpy(), capacity)
     filled = np.bincount(pieces["bin"], weights=pieces["n_tokens"]) if len(pieces) else np.zeros(0)
     pieces["open"] = filled[pieces["bin"]] < capacity
@@ -99,13 +101,11 @@ def _stat(grp: int, bins: int, sums: np.ndarray, capacity: int) -> dict:
 
 
 def _frame(pieces: pd.DataFrame, stat: dict) -> pd.DataFrame:
-    """The pieces' rows and one row, without a bin, that has the group's bounds."""
-    pieces = pieces.assign(grp=stat["grp"], gap=stat["gap"], bins=None, dff=None)
-    row = pd.DataFrame([stat | dict.fromkeys(("bin_part", "bin", "doc_id", "piece", "n_tokens", "start", "open"))])
-    out = pd.concat([pieces.astype(object), row.astype(object)], ignore_index=True)
-    columns = ["grp", "bin_part", "bin", "doc_id", "piece", "n_tokens", "start", "open", "gap", "bins", "dff"]
-    out = out[columns]
-    return out.astype({c: "Int64" for c in ("grp", "bin_part", "doc_id", "gap", "bins")} | {c: "Int32" for c in ("bin", "piece", "n_tokens", "start")} | {"open": "boolean"})
+    """The pieces' rows and one row, of bin -1, that has the group's bounds."""
+    pieces = pieces.assign(grp=stat["grp"], gap=stat["gap"], bins=0, dff=None)
+    row = pd.DataFrame([dict.fromkeys(("bin_part", "doc_id", "piece", "n_tokens", "start"), 0) | {"bin": -1, "no_id": False, "open": False} | stat])
+    columns = ["grp", "bin_part", "bin", *PIECE, "start", "open", "gap", "bins", "dff"]
+    return pd.concat([pieces[columns].astype({"dff": object}), row[columns]], ignore_index=True) if len(pieces) else row[columns]
 
 
 def pack(
@@ -128,22 +128,23 @@ def pack(
     last = F.floor((F.col("tokens") - 1) / capacity).cast("int")
     pieces = texts.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece").cast("long") * capacity).cast("int").alias("n_tokens"))
+    pieces = pieces.withColumns({"no_id": F.col("doc_id").isNull(), "hash": F.xxhash64("doc_id", "piece"), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
     pieces = checkpointed(pieces)
     parts = max(1, -(-pieces.count() // per_partition))
 
     def first(key, pdf):
         lengths, counts = np.unique(pdf["n_tokens"].to_numpy(), return_counts=True)
-        out = _packed(pdf[["doc_id", "piece", "n_tokens"]].astype({"doc_id": "Int64"}), capacity)
+        out = _packed(pdf[PIECE], capacity)
         out["bin_part"] = key[0]
         return _frame(out, _stat(key[0], int(out["bin"].max()) + 1, dff_values(lengths.astype(np.int64), counts, capacity), capacity))
 
     def again(level: int):
         def run(key, pdf):
-            stats, rows = pdf[pdf["bin"].isna()], pdf[pdf["bin"].notna()].drop(columns=["bins", "dff"])
+            stats, rows = pdf[pdf["bin"] < 0], pdf[pdf["bin"] >= 0].drop(columns=["bins", "dff"])
             sums = np.sum([np.array(x, dtype=np.int64) for x in stats["dff"]], axis=0)
             bins = int(stats["bins"].sum())
             old = len(rows[["bin_part", "bin"]].drop_duplicates())
-            out = _packed(rows[["doc_id", "piece", "n_tokens"]].astype({"doc_id": "Int64"}), capacity)
+            out = _packed(rows[PIECE], capacity)
             new = int(out["bin"].max()) + 1 if len(out) else 0
             if new < old:
                 out["bin_part"] = (level << 40) + key[0]
@@ -152,19 +153,19 @@ def pack(
 
         return run
 
-    spread = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("long"))
+    spread = pieces.withColumn("grp", F.pmod("hash", F.lit(parts)).cast("long")).drop("hash")
     state = checkpointed(spread.groupBy("grp").applyInPandas(first, STATE))
     done, level = None, 0
     while True:
-        stat = state.where("bin is null and gap > 0")
+        stat = state.where("bin < 0 and gap > 0")
         groups = stat.count()
         last_round = groups < 2 or level == max_rounds
-        finished = state.where("bin is not null" if last_round else "bin is not null and (gap = 0 or not open)")
+        finished = state.where("bin >= 0" if last_round else "bin >= 0 and (gap = 0 or not open)")
         done = finished if done is None else done.unionByName(finished)
         if last_round:
             break
         level += 1
-        moving = state.where("gap > 0 and (bin is null or open)").withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
+        moving = state.where("gap > 0 and (bin < 0 or open)").withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
         state = checkpointed(moving.groupBy("grp").applyInPandas(again(level), STATE))
     label = F.concat_ws("-", F.col("bin_part").cast("string"), F.col("bin").cast("string"))
-    return done.select(label.alias("bin_id"), "doc_id", "piece", "n_tokens", "start", (F.col("gap") == 0).alias("certified"))
+    return done.select(label.alias("bin_id"), F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "n_tokens", "start", (F.col("gap") == 0).alias("certified"))

@@ -106,3 +106,13 @@ def test_pack(spark, docs):
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert packing.pack(docs.limit(0)).count() == 0
     assert packing.pack(docs.withColumn("bin", F.lit(1)).withColumn("grp", F.lit(1)), capacity=100).agg(F.sum("n_tokens")).first()[0] == sum(tokens.values())
+
+
+def test_exchange_keeps_ids(spark):
+    """Partitions with a gap exchange pieces: ids above 2**53, and rows without an id, come back as they were."""
+    rng = np.random.default_rng(11)
+    rows = [(2**60 + 2 * i + 1 if i % 9 else None, "x" * 4 * int(n)) for i, n in enumerate(rng.integers(20, 70, size=600))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = packing.pack(df, capacity=100, per_partition=40).collect()
+    assert any(int(r.bin_id.split("-")[0]) >= 1 << 40 for r in out)
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter((i, len(t) // 4) for i, t in rows)
