@@ -2,8 +2,9 @@
 
 The DOM trees of one host are merged: an element's children, with runs of one tag folded, form a presentation style, and elements at the same place
 under the same style are one node of the merged tree. A node is important when its pages present it in many ways, and a text node when its pages'
-texts differ: both by entropy to the base of the number of pages. Importance is combined upwards, and from each page the highest branches of
-importance under ``threshold`` are cut off. What remains is the text.
+texts differ: both by entropy to the base of the number of pages. Importance is combined upwards. A node is noisy when its own composite importance and that of
+all below it (but for elements without content, such as br) are under ``threshold``; from each page the highest noisy branches are cut off. What
+remains is the text.
 
 Scale: pages are parsed twice. Between the passes only node statistics are shuffled, summed by (host, node), so that the largest host is not one task; per host
 there is one small merged tree, without texts. The list of noisy nodes goes to all tasks if it is at most ``broadcast_rows`` long and is joined by host otherwise.
@@ -173,9 +174,10 @@ def extracted(root: Node, noisy: frozenset) -> tuple[str, int, int]:
 
 
 def composite(nodes: pd.DataFrame, styles: pd.DataFrame, gamma: float, threshold: float) -> list[int]:
-    """Keys of the noisy nodes of one host. ``nodes``: key, parent, parent_style, depth, importance, n_styles; ``styles``: key, sig, p."""
+    """Keys of the noisy nodes of one host; the root, of depth 0, is none. ``nodes``: key, parent, parent_style, depth, importance, n_styles, empty; ``styles``: key, sig, p."""
     share = {(k, s): p for k, s, p in zip(styles["key"], styles["sig"], styles["p"])}
     below: dict[int, dict[int, list[float]]] = {}
+    holds: set[int] = set()  # nodes with something of importance below them
     noisy = []
     for r in nodes.sort_values(["depth", "key"], ascending=[False, True]).itertuples(index=False):
         value = r.importance
@@ -183,10 +185,12 @@ def composite(nodes: pd.DataFrame, styles: pd.DataFrame, gamma: float, threshold
             weight = gamma**r.n_styles
             inner = math.fsum(share.get((r.key, sig), 0.0) * math.fsum(v) / len(v) for sig, v in sorted(below.pop(r.key, {}).items()))
             value = (1 - weight) * value + weight * inner
-        if r.parent is not None and not pd.isna(r.parent):
-            below.setdefault(int(r.parent), {}).setdefault(int(r.parent_style), []).append(value)
-            if value < threshold:
-                noisy.append(int(r.key))
+        if r.depth > 0:
+            below.setdefault(r.parent, {}).setdefault(r.parent_style, []).append(value)
+            if value < threshold and r.key not in holds:
+                noisy.append(r.key)
+            elif not r.empty:
+                holds.add(r.parent)
     return noisy
 
 
@@ -224,18 +228,21 @@ def noisy_nodes(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = G
     importance = F.when(F.col("m") < 2, 1.0).otherwise(
         F.when(F.col("text_entropy").isNotNull(), 1 - F.col("text_entropy") / F.log("m")).otherwise(presented / F.log("m"))
     )
+    # The root's null parent gets a number: with a null, pandas has the whole column as floats, which are too short for keys.
+    above = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("parent", "parent_style")]
     tree = nodes.where("host is not null").select(
-        "host", "key", "parent", "parent_style", "depth", importance.alias("importance"), "n_styles", "shown", "styles", "m"
+        "host", "key", *above, "depth", importance.alias("importance"), "n_styles", "shown", "styles", "m"
     )
     # A style that has no children says nothing about importance below it: such elements (br, img) are leaves of importance 1.
     tree = tree.withColumn("importance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "importance")))
 
     def combine(key, pdf):
         flat = [(k, s["sig"], s["n"] / shown) for k, shown, ss in zip(pdf["key"], pdf["shown"], pdf["styles"]) for s in ss]
-        parents = set(int(p) for p in pdf["parent"].dropna())
+        parents = set(pdf["parent"][pdf["depth"] > 0].tolist())
         pdf = pdf.assign(
             n_styles=[int(n) if k in parents else 0 for k, n in zip(pdf["key"], pdf["n_styles"])],
             importance=[1.0 if k not in parents and n > 0 else x for k, n, x in zip(pdf["key"], pdf["n_styles"], pdf["importance"])],
+            empty=[k not in parents and n > 0 for k, n in zip(pdf["key"], pdf["n_styles"])],
         )
         alone = pdf["m"].max() < 2
         noisy = [] if alone else composite(pdf.drop(columns=["styles", "shown", "m"]), pd.DataFrame(flat, columns=["key", "sig", "p"]), gamma, threshold)

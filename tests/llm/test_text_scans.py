@@ -135,6 +135,73 @@ def test_text_importance_is_entropy(spark):
         assert (any(text_key in r.noisy for r in found)) is noisy
 
 
+def plain_style_tree(pages, threshold, gamma):
+    """(text pieces left, branches cut) of each page of one host: merged tree by paths, composite importance and cuts by recursion."""
+    roots = [html_extract.parse(h) for h in pages]
+    tree = {}
+
+    def below(node, path):
+        style, places = html_extract.style_of(node)
+        return [(c, (*path, (style, k, c.tag))) for c, k in zip(node.children, places)]
+
+    def add(node, path, page):
+        e = tree.setdefault(path, {"pages": set(), "texts": {}, "styles": Counter(), "kids": {}})
+        e["pages"].add(page)
+        if node.tag == html_extract.TEXT:
+            e["texts"].setdefault(node.text.strip(), Counter())[page] += 1
+            return
+        style = html_extract.style_of(node)[0]
+        e["styles"][style] += 1
+        for child, at in below(node, path):
+            e["kids"].setdefault(style, set()).add(at)
+            add(child, at, page)
+
+    def entropy(counts, m):
+        return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts) / math.log(m)
+
+    def composite(path):
+        e = tree[path]
+        m = len(e["pages"])
+        if e["texts"]:
+            return 1.0 if m < 2 else 1 - sum(entropy(c.values(), m) for c in e["texts"].values()) / len(e["texts"])
+        if not e["kids"]:
+            return 1.0
+        own = 1.0 if m < 2 else min(1.0, entropy(e["styles"].values(), m))
+        weight = gamma ** len(e["styles"])
+        return (1 - weight) * own + weight * sum(e["styles"][s] / e["styles"].total() * sum(map(composite, k)) / len(k) for s, k in e["kids"].items())
+
+    def noisy(path):
+        e = tree[path]
+        inner = [k for ks in e["kids"].values() for k in ks]
+        return composite(path) < threshold and all(noisy(k) or not tree[k]["texts"] and not tree[k]["kids"] for k in inner)
+
+    def rest(node, path):
+        if path and noisy(path):
+            return [], 1
+        if node.tag == html_extract.TEXT:
+            return node.text.split(), 0
+        parts = [rest(*x) for x in below(node, path)]
+        return [w for ws, _ in parts for w in ws], sum(n for _, n in parts)
+
+    for i, r in enumerate(roots):
+        add(r, (), i)
+    return [rest(r, ()) for r in roots]
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.7])
+def test_style_tree_against_brute_force(spark, threshold):
+    """Whole branches go as one (navigation with an image, footer), and the body above them stays, whatever its own importance."""
+    rng = random.Random(2)
+    words = "alpha beta gamma delta omega".split()
+    aside = ["", "<aside><p>Buy now<br><p>Sale</aside>", "<aside><p>Buy now</aside>"]
+    pages = [f"<body><nav><img src=x><ul><li><a>Home</a><li><a>About</a></ul></nav><main><h1>News</h1>{''.join(f'<p>{rng.choice(words)} {rng.randrange(60)}' for _ in range(i % 3 + 1))}</main>{aside[i % 3]}<footer><div>Legal <b>notes</b></div></footer></body>" for i in range(9)]
+    df = spark.createDataFrame([(i, "http://h.com/", h) for i, h in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.text.split(), r.n_cut) for r in html_extract.html_extract(df, threshold=threshold).collect()}
+    want = dict(enumerate(plain_style_tree(pages, threshold, html_extract.GAMMA)))
+    assert got == want
+    assert all("Home" not in words and "Legal" not in words and len(words) >= 2 for words, _ in want.values())
+
+
 @pytest.mark.parametrize("html,text", [("a<br>b", "a\nb"), ("<p>x<table><tr><td>1<td>2</table>y", "x\n1\n2\ny"), ("<textarea>t</textarea>z", "z"), ("a&nbsp;b", "a b"), ("<![CDATA[<x>]]>", "<x>")])
 def test_parser(html, text):
     assert html_extract.extracted(html_extract.parse(html), frozenset())[0] == text
