@@ -54,6 +54,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op10_quality_rules_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_quality_rules, with the threshold from held-out trusted scores instead of one that fits a single corpus size."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.quality_rules(docs, labels, held_out=quality_rules.HELD_OUT).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extract,
         op9_simhash_near_dedup,
         op10_quality_rules,
+        op10_quality_rules_held_out,
     )
 }
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from callweave.llm import html_extract, licenses, quality_rules, secret_scan
 from callweave.llm._frames import PRIME, token_hash
 from callweave.llm.chat_format import chat_format
+from callweave.llm.queries import QUERIES
 
 
 def test_quality_rules(spark):
@@ -42,6 +44,42 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(df.limit(0), lab).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_held_out_threshold_fits_every_size(spark, sf):
+    """Scores and threshold against plain counts; most documents that nobody labelled stay, at either size."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet")
+    texts = {r.doc_id: r.text for r in read("documents").collect()}
+    labels = read("labels").collect()
+    trusted = {r.doc_id for r in labels if r.quality == 1 and not r.toxic} & set(texts)
+    hashes = {w: token_hash(w) for t in texts.values() for w in re.split("[\t\n\x0b\x0c\r ]+", t or "") if w}
+
+    def grams(text):
+        h = [hashes[w] for w in re.split("[\t\n\x0b\x0c\r ]+", text or "") if w]
+        return Counter([x % quality_rules.BUCKETS for x in h] + [(a * 1_000_033 + b * 7 + 1) % PRIME % quality_rules.BUCKETS for a, b in zip(h, h[1:])])
+
+    own = {i: g for i, t in texts.items() if (g := grams(t))}
+    raw, target = Counter(), Counter()
+    for i, g in own.items():
+        raw.update(g)
+        if i in trusted:
+            target.update(g)
+    n, m, b = raw.total(), target.total(), quality_rules.BUCKETS
+    value = {}
+    for i, g in own.items():
+        out = i in trusted
+        weight = {k: round(1e6 * (math.log((target[k] - c * out + 1) / (m - g.total() * out + b)) - math.log((raw[k] + 1) / (n + b)))) for k, c in g.items()}
+        value[i] = sum(weight[k] * c for k, c in g.items()) / g.total() / 1e6
+    scores = sorted(value[i] for i in trusted & set(own))
+    least = scores[int(quality_rules.HELD_OUT * (len(scores) - 1))]
+    got = {r.doc_id: r.quality_score for r in QUERIES["op10_quality_rules_held_out"](spark, f"/root/testdata/{sf}").collect()}
+    want = {i: v for i, v in value.items() if v >= least - 1e-9}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    rest = set(own) - {r.doc_id for r in labels}
+    assert len(rest & got.keys()) >= 0.8 * len(rest)
+    bad = {r.doc_id for r in labels} - trusted
+    assert len(bad & got.keys()) <= 0.6 * len(bad)
+
+
 def test_license_scan(spark):
     apache, mit = "# Licensed under the Apache License, Version 2.0\n", "The MIT License (MIT)\n"
     rows = [
