@@ -41,7 +41,7 @@ def _number(*parts: Column) -> Column:
 def mixing_plan(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
-    budget: float = BUDGET,
+    budget: float | None = BUDGET,
     n_blocks: int = N_BLOCKS,
     n_shards: int = N_SHARDS,
     seed: int = SEED,
@@ -52,7 +52,8 @@ def mixing_plan(
     """The selected units: (unit, doc_id, source, shard, block, tokens).
 
     ``weights`` gives each source's target share (None: the same for all); sources not named get nothing. ``budget`` is the part of all
-    blocks that is selected. Null sources count as the source ''. Rows that share an id are one unit, of the smallest of its sources and
+    blocks that is selected; a source that runs out leaves its seats to the others, so that the target may be missed (see mixing_shares()). With
+    None it is the most blocks that every source with weight can meet: none runs out. A weighted source without rows is left aside. Null sources count as the source ''. Rows that share an id are one unit, of the smallest of its sources and
     all its rows' tokens; rows with neither id nor text are one unit. Empty texts weigh 0 tokens and go with the block they fall in.
     A document longer than a block fills one block alone. Ties of quotients go to the smaller source, then shard. An empty table gives an
     empty plan.
@@ -81,10 +82,17 @@ def mixing_plan(
     else:
         table = F.create_map(*[F.lit(x) for k, v in sorted(weights.items()) for x in (k, float(v))]) if weights else F.lit(None).cast("map<string,double>")
         weighted = sources.withColumn("weight", F.coalesce(table[F.col("source")], F.lit(0.0))).where("weight > 0")
-    allowed = int(budget * (sources.agg(F.coalesce(F.sum("has"), F.lit(0))).first()[0]))
-
     steps = F.explode(F.sequence(F.lit(0).cast("long"), F.col("has") - 1)).alias("k")
     quotients = weighted.select("source", "weight", steps).withColumn("quotient", F.col("weight") / (2 * F.col("k") + 1))
+    if budget is None:
+        # The first seat that its source has no block for; every quotient before it is one of `quotients`.
+        short = weighted.select("source", F.col("has").alias("k"), (F.col("weight") / (2 * F.col("has") + 1)).alias("quotient"))
+        end = short.orderBy(F.col("quotient").desc(), "source").first()
+        earlier = (F.col("quotient") > end.quotient) | (F.col("quotient") == end.quotient) & (F.col("source") <= end.source) if end else F.lit(False)
+        allowed = quotients.where(earlier).count()
+    else:
+        allowed = int(budget * (sources.agg(F.coalesce(F.sum("has"), F.lit(0))).first()[0]))
+
     best = Window.orderBy(F.col("quotient").desc(), "source", "k")
     by_source = quotients.withColumn("place", F.row_number().over(best)).where(F.col("place") <= allowed).groupBy("source").agg(F.count("*").alias("quota"))
 
@@ -104,6 +112,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.join(taken, unit_of(docs, id_col, text_col) == F.col("_unit"), "left_semi")
 
 
+def mixing_shares(docs: DataFrame, plan: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(source, target, reached, tokens, of_tokens) of every source: its target share, its share of the plan's tokens, and its tokens taken and there."""
+    rows = docs.select(unit_of(docs, id_col, text_col).alias("unit"), F.coalesce(docs[quoted(source_col)].cast("string"), F.lit("")).alias("source"), tokens_of(docs[quoted(text_col)]).alias("n"))
+    there = rows.groupBy("unit").agg(F.min("source").alias("source"), F.sum("n").alias("n")).groupBy("source").agg(F.sum("n").alias("of_tokens"))
+    taken = plan.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    if weights is None:
+        weight = F.lit(1.0)
+    else:
+        weight = F.coalesce(F.create_map(*[F.lit(x) for k, v in sorted(weights.items()) for x in (k, float(v))])[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
+    all_ = Window.partitionBy()
+    both = there.join(taken, "source", "left").withColumns({"weight": F.greatest(weight, F.lit(0.0)), "tokens": F.coalesce("tokens", F.lit(0))})
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(all_))
+    return both.select("source", share("weight").alias("target"), share("tokens").alias("reached"), "tokens", "of_tokens")
+
+
 ORACLE = f"""
 WITH units AS (
   SELECT 'i' || CAST(doc_id AS VARCHAR) AS unit, min(doc_id) AS doc_id, min(coalesce(source, '')) AS source,

@@ -50,6 +50,24 @@ def test_quotas(spark, docs, weights):
     assert {r.unit for r in plan} == {r.unit for r in whole if (r.source, r.shard, r.block) in taken}
 
 
+@pytest.mark.parametrize("weights", [None, {"hot": 1, "b": 2, "c": 1.5}])
+def test_budget_that_every_source_meets(spark, weights):
+    """A hot source takes no seats of those that run out: shares are the target's, and one block more would miss it."""
+    rows = [(i, "x" * 40, "hot" if i % 2 else "bcd"[i // 2 % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    params = {"n_blocks": 600, "n_shards": 3}
+    plan = mixing.mixing_plan(docs, weights, budget=None, **params)
+    has = Counter(s for _, _, s in rows)
+    use = weights or dict.fromkeys(has, 1.0)
+    seats = max(n for n in range(601) if sainte_lague(use, has, n) == sainte_lague(use, dict.fromkeys(use, 600), n))
+    assert Counter(r.source for r in plan.collect()) == {k: v for k, v in sainte_lague(use, has, seats).items() if v} and seats > 200
+    shares = {r.source: r for r in mixing.mixing_shares(docs, plan, weights).collect()}
+    assert all(abs(r.target - r.reached) < 0.01 for r in shares.values()) and len(shares) == 4
+    capped = mixing.mixing_shares(docs, mixing.mixing_plan(docs, weights, **params), weights).where("source = 'hot'").first()
+    assert capped.reached > capped.target + 0.1
+    assert mixing.mixing_plan(docs.limit(0), weights, budget=None).count() == 0
+
+
 def test_mix_sources(spark, docs):
     kept = mixing.mix_sources(docs, n_blocks=60, n_shards=3, budget=0.5)
     plan = {r.unit for r in mixing.mixing_plan(docs, n_blocks=60, n_shards=3, budget=0.5).collect()}
