@@ -1,8 +1,8 @@
 """Secret scan by token efficiency: random strings take far more tokens of a text vocabulary than words do.
 
-Candidates are runs of at least ``min_length`` characters of the base64, hex and URL-safe alphabets that mix letters and digits; "=" belongs to one
+Candidates are runs of at least ``min_length`` characters of the base64, hex and URL-safe alphabets that mix letters and digits, or capitals and small letters; "=" belongs to one
 as padding at its end alone, so that the name in "name=secret" does not. After known digests and
-identifiers are set aside, a candidate is encoded with a byte-pair vocabulary; fewer than ``max_ratio`` characters per token expose it.
+identifiers are set aside (letters alone are one only if their case changes as seldom as in words; runs of one case are taken for words), a candidate is encoded with a byte-pair vocabulary; fewer than ``max_ratio`` characters per token expose it.
 
 Scale: one pass over whole texts, without a shuffle; known digests of a table are removed by a join of the few candidates alone.
 """
@@ -30,11 +30,16 @@ _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[list(b"0123456789")] = True
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_UPPER = np.zeros(256, dtype=bool)
+_UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+_LOWER = np.zeros(256, dtype=bool)
+_LOWER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
 
 _UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _NAME = re.compile(r"[_/+=-]*[A-Za-z]+\d{0,4}([_/+=-]+([A-Za-z]+\d{0,4}|\d{1,4}))*[_/+=-]*")
+_LETTERS = re.compile(r"[A-Za-z]+")
+_HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+WORD = 5
 _DIGEST = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128}", re.I)
 _SAYS_DIGEST = re.compile(r"(?:md5|sha-?\d{1,3}|commit|revision|checksum|digest|integrity|etag|fingerprint|blob|tree)[\s\"':=@(-]{0,4}$", re.I)
 
@@ -52,9 +57,15 @@ def encoding(path: str):
     return _encodings[path]
 
 
+def wordless(candidate: str) -> bool:
+    """Whether a run of letters alone changes case more often than camel-case words do: its humps have under WORD letters on average."""
+    letters = candidate.rstrip("=")
+    return bool(_LETTERS.fullmatch(letters)) and len(letters) < WORD * len(_HUMP.findall(letters))
+
+
 def excluded(candidate: str, before: str) -> bool:
     """Whether the string is an identifier, or a digest that the text before it names as one."""
-    if _UUID.fullmatch(candidate) or _NAME.fullmatch(candidate):
+    if _UUID.fullmatch(candidate) or _NAME.fullmatch(candidate) and not wordless(candidate):
         return True
     return bool(_DIGEST.fullmatch(candidate) and _SAYS_DIGEST.search(before))
 
@@ -69,8 +80,9 @@ def candidates(texts: list[str | None], min_length: int):
     start, end = edge[0::2], edge[1::2]
     long = end - start >= min_length
     start, end = start[long], end[long]
-    digits, letters = (np.concatenate(([0], np.cumsum(t[data], dtype=np.int64))) for t in (_DIGIT, _LETTER))
-    mixed = (digits[end] > digits[start]) & (letters[end] > letters[start])
+    sums = (np.concatenate(([0], np.cumsum(t[data], dtype=np.int64))) for t in (_DIGIT, _UPPER, _LOWER))
+    digits, uppers, lowers = (c[end] > c[start] for c in sums)
+    mixed = digits & (uppers | lowers) | uppers & lowers
     begins = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     for s, e in zip(start[mixed].tolist(), end[mixed].tolist()):

@@ -126,6 +126,15 @@ def test_secret_scan(spark):
     assert secret_scan.secret_scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_letters(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(200)]
+    names = ["getHTTPResponseCode", "XMLHttpRequestFactory", "kHTMLParserCtxtPtr", "Krankenversicherungsbeitrag", "ERSCHSCHBERBERTZ", "Schpfgegebeunger", "src/main/java/org/Apache", "Max_Buffer_Size_In_Bytes"]
+    df = spark.createDataFrame([(i, f"key: {k} end") for i, k in enumerate(keys + names)], "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.secret_scan(df).collect()}
+    assert len(found) >= 0.97 * len(keys) and max(found) < len(keys)
+
+
 def test_chat_format(spark):
     rows = [
         (1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 3, " Assistant ", "c"), (1, 3, " Assistant ", "c"), (1, None, "user", "late"), (2, 1, None, None), (2, 2, " ", "<|end|>"), (None, 1, "user", "lost"), (3, 1, "user", "x" * 300_000),
