@@ -4,15 +4,18 @@ Documents are cut into pieces of at most ``capacity`` tokens; pieces are spread
 each partition, dual-feasible functions give lower bounds on the number of bins. A partition that meets its bound is certified: no packing of its
 pieces uses fewer bins. Partitions with a gap exchange: the pieces of their bins with slack are pooled with those of seven neighbours and
 packed again by best-fit decreasing, and the result is taken if it needs fewer bins. Bounds add up over partitions, since a
-dual-feasible function is summed piece by piece, so the pooled group is certified in turn. Rounds go on until no gap is left that a
-neighbour could close.
+dual-feasible function is summed piece by piece, so the pooled group is certified in turn. Rounds go on until all groups are certified or
+one group, the whole, is left.
 
 Scale: only ids and lengths move. A partition holds about ``per_partition`` pieces; a round touches bins with slack in uncertified
-partitions alone, a few bins each, since best-fit decreasing leaves slack mainly in its last bins.
+partitions alone. Best-fit decreasing leaves slack mainly in its last bins; where more bins have slack, a group sends the emptiest, with an eighth of
+``per_partition`` pieces together, so that no pool outgrows a partition. The others stay as they are packed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +28,6 @@ from callweave.session import importable
 CAPACITY = 2048
 PER_PARTITION = 50_000
 FAN_IN = 8
-MAX_ROUNDS = 6
 
 #: No number is ever null, since pandas would get the whole column as floats: a group's statistics have bin -1, a row without an id has no_id.
 STATE = "grp long, bin_part long, bin int, doc_id long, no_id boolean, piece int, n_tokens int, start int, open boolean, gap long, bins long, dff array<long>"
@@ -88,11 +90,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, starts
 
 
-def _packed(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _packed(pieces: pd.DataFrame, capacity: int, share: int) -> pd.DataFrame:
+    """Packed pieces; ``open`` marks the bins that an exchange moves: those with slack, emptiest first, of ``share`` pieces together."""
     pieces = pieces.sort_values(["n_tokens", "no_id", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     pieces["bin"], pieces["start"] = best_fit_decreasing(pieces["n_tokens"].to_numpy(), capacity)
-    filled = np.bincount(pieces["bin"], weights=pieces["n_tokens"]) if len(pieces) else np.zeros(0)
-    pieces["open"] = filled[pieces["bin"]] < capacity
+    if not len(pieces):
+        return pieces.assign(open=False)
+    filled, held = np.bincount(pieces["bin"], weights=pieces["n_tokens"]), np.bincount(pieces["bin"])
+    order = np.argsort(filled, kind="stable")
+    moves = np.zeros(len(filled), dtype=bool)
+    moves[order] = (filled[order] < capacity) & (np.cumsum(held[order]) <= share)
+    pieces["open"] = moves[pieces["bin"]]
     return pieces
 
 
@@ -108,22 +116,16 @@ def _frame(pieces: pd.DataFrame, stat: dict) -> pd.DataFrame:
     return pd.concat([pieces[columns].astype({"dff": object}), row[columns]], ignore_index=True) if len(pieces) else row[columns]
 
 
-def pack(
-    docs: DataFrame,
-    capacity: int = CAPACITY,
-    per_partition: int = PER_PARTITION,
-    max_rounds: int = MAX_ROUNDS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bin_id, doc_id, piece, n_tokens, start, certified): every piece of every document with a token, its bin and its place in it.
 
     Tokens are estimated from the whole text's bytes. Null and empty texts have no token and no piece. Rows without an id are packed, with a
-    null doc_id. Each of several equal rows is packed: packing drops nothing. Ties of length are broken by id and piece, and equal rows are
-    interchangeable, so the table of results is the same in every run. ``certified`` says that the number of bins of the piece's group
-    meets a lower bound. An empty table gives an empty table.
+    null doc_id. Ids must be whole numbers, or strings of them. Each of several equal rows is packed: packing drops nothing. Ties of length are broken by id and piece, and equal rows are
+    interchangeable, so the table of results is the same in every run. ``certified`` says that the number of bins of the group that the bin ended
+    in, through all its exchanges, meets a lower bound. Other columns, whatever their names, are never read. An empty table gives an empty table.
     """
     spark = importable(docs.sparkSession)
+    share = max(1, per_partition // FAN_IN)
     texts = docs.select(docs[quoted(id_col)].cast("long").alias("doc_id"), tokens_of(docs[quoted(text_col)]).alias("tokens")).where("tokens > 0")
     last = F.floor((F.col("tokens") - 1) / capacity).cast("int")
     pieces = texts.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
@@ -134,7 +136,7 @@ def pack(
 
     def first(key, pdf):
         lengths, counts = np.unique(pdf["n_tokens"].to_numpy(), return_counts=True)
-        out = _packed(pdf[PIECE], capacity)
+        out = _packed(pdf[PIECE], capacity, share)
         out["bin_part"] = key[0]
         return _frame(out, _stat(key[0], int(out["bin"].max()) + 1, dff_values(lengths.astype(np.int64), counts, capacity), capacity))
 
@@ -144,7 +146,7 @@ def pack(
             sums = np.sum([np.array(x, dtype=np.int64) for x in stats["dff"]], axis=0)
             bins = int(stats["bins"].sum())
             old = len(rows[["bin_part", "bin"]].drop_duplicates())
-            out = _packed(rows[PIECE], capacity)
+            out = _packed(rows[PIECE], capacity, share)
             new = int(out["bin"].max()) + 1 if len(out) else 0
             if new < old:
                 out["bin_part"] = (level << 40) + key[0]
@@ -155,17 +157,24 @@ def pack(
 
     spread = pieces.withColumn("grp", F.pmod("hash", F.lit(parts)).cast("long")).drop("hash")
     state = checkpointed(spread.groupBy("grp").applyInPandas(first, STATE))
-    done, level = None, 0
+    done, stats, level = [], [], 0
     while True:
-        stat = state.where("bin < 0 and gap > 0")
-        groups = stat.count()
-        last_round = groups < 2 or level == max_rounds
+        stats.append(state.where("bin < 0").select("grp", (F.col("gap") == 0).alias("met")))
+        last_round = stats[-1].where("not met").count() < 2
         finished = state.where("bin >= 0" if last_round else "bin >= 0 and (gap = 0 or not open)")
-        done = finished if done is None else done.unionByName(finished)
+        done.append(finished.withColumn("level", F.lit(level)))
         if last_round:
             break
         level += 1
         moving = state.where("gap > 0 and (bin < 0 or open)").withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
         state = checkpointed(moving.groupBy("grp").applyInPandas(again(level), STATE))
+    # A group that is not certified is part of a larger one, one level on. One row per group: about a per_partition-th of the pieces.
+    met = [stats[-1]]
+    for own in reversed(stats[:-1]):
+        larger = met[0].select(F.col("grp").alias("up"), F.col("met").alias("later"))
+        joined = own.join(larger, F.floor(own["grp"] / FAN_IN) == F.col("up"), "left")
+        met.insert(0, joined.select("grp", (F.col("met") | F.coalesce("later", F.lit(False))).alias("met")))
+    groups = reduce(DataFrame.unionByName, [m.withColumn("level", F.lit(k)) for k, m in enumerate(met)])
     label = F.concat_ws("-", F.col("bin_part").cast("string"), F.col("bin").cast("string"))
-    return done.select(label.alias("bin_id"), F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "n_tokens", "start", (F.col("gap") == 0).alias("certified"))
+    rows = reduce(DataFrame.unionByName, done).join(groups, ["level", "grp"])
+    return rows.select(label.alias("bin_id"), F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "n_tokens", "start", F.col("met").alias("certified"))

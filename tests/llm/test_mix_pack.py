@@ -126,11 +126,45 @@ def test_pack(spark, docs):
     assert packing.pack(docs.withColumn("bin", F.lit(1)).withColumn("grp", F.lit(1)), capacity=100).agg(F.sum("n_tokens")).first()[0] == sum(tokens.values())
 
 
-def test_exchange_keeps_ids(spark):
-    """Partitions with a gap exchange pieces: ids above 2**53, and rows without an id, come back as they were."""
-    rng = np.random.default_rng(11)
-    rows = [(2**60 + 2 * i + 1 if i % 9 else None, "x" * 4 * int(n)) for i, n in enumerate(rng.integers(20, 70, size=600))]
+@pytest.mark.parametrize("low,high,n,per_partition", [(20, 70, 600, 40), (25, 52, 900, 64), (30, 60, 1500, 100)])
+def test_exchange(spark, low, high, n, per_partition):
+    """Partitions with a gap exchange pieces, over several rounds: nothing is lost, bins hold, ids above 2**53 and rows without one come back as they were."""
+    rng = np.random.default_rng(high)
+    rows = [(2**60 + 2 * i + 1 if i % 9 else None, "x" * 4 * int(n)) for i, n in enumerate(rng.integers(low, high, size=n))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = packing.pack(df, capacity=100, per_partition=40).collect()
+    out = packing.pack(df, capacity=100, per_partition=per_partition).collect()
     assert any(int(r.bin_id.split("-")[0]) >= 1 << 40 for r in out)
     assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter((i, len(t) // 4) for i, t in rows)
+    bins = {}
+    for r in out:
+        bins.setdefault(r.bin_id, []).append((r.start, r.n_tokens))
+    for parts in bins.values():
+        at = 0
+        for start, tokens in sorted(parts):
+            assert start == at
+            at += tokens
+        assert at <= 100
+    lengths = np.array(sorted((len(t) // 4 for _, t in rows), reverse=True))
+    bound = packing.lower_bound(packing.dff_values(lengths, np.ones(len(lengths), dtype=np.int64), 100), 100)
+    alone = packing.best_fit_decreasing(lengths, 100)[0].max() + 1
+    spread = len({r.bin_id for r in packing.pack(df, capacity=100, per_partition=10**6).collect()})
+    assert bound <= spread == alone and bound <= len(bins) <= alone * 1.05 + 2
+    # Certified groups of bins number as many as their pieces' bound, and what is certified in one round stays so.
+    if all(r.certified for r in out):
+        assert len(bins) <= bound * 1.1 + 1
+
+
+def test_certificate_follows_the_group(spark):
+    """A full bin of a partition with a gap is certified when the pool that the partition joined is."""
+    rows = [(i, "x" * 4 * n) for i, n in enumerate([100] * 200 + [51] * 8 + [49] * 8)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=100, per_partition=40).collect()
+    assert len({r.bin_id for r in out}) == 208 and all(r.certified for r in out)
+
+
+def test_pool_is_bounded():
+    """Of many bins with slack, the emptiest of ``share`` pieces move."""
+    import pandas as pd
+
+    pieces = pd.DataFrame({"doc_id": range(50), "no_id": False, "piece": 0, "n_tokens": [60 + i % 7 for i in range(50)]})
+    out = packing._packed(pieces, 100, 12)
+    assert out["open"].sum() == 12 and out.loc[out["open"], "n_tokens"].max() <= out.loc[~out["open"], "n_tokens"].min()
