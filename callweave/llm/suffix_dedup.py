@@ -11,9 +11,12 @@ are covered:
    word before it. Boundaries that appear in round h mark a common prefix of h - 1 words. Suffixes alone between two boundaries are settled
    and dropped. What is still together after ``min_words`` rounds are the intervals of suffixes that share so many words: the repeated
    passages. No suffix is sorted again across shards.
-4. Passages return to all places of their segments, and overlapping ones of a document are joined.
+4. A minimiser of more than ``hot`` places, as boilerplate has, is not gathered in one task: digests of its single windows are counted instead, with
+   partial aggregation, which gives the same passages.
+5. Passages return to all places of their segments, and overlapping ones of a document are joined.
 
-Scale: every exchange is keyed by a minimiser, a segment or a document. Texts move once, to be joined with their segments' places.
+Scale: every exchange is keyed by a minimiser, a segment or a document. Texts move once, to be joined with their segments' places. A task refines
+``at_once`` words at a time, plus one minimiser's.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from callweave.session import importable
 
 MIN_WORDS = 50
 GRAM = 12
+HOT = 20_000
+SHARD_WORDS = 1 << 18
+AT_ONCE = 1 << 21
 #: Words at once when a text is searched for minimisers; longer texts are cut into pieces that share min_words - 1 words.
 PIECE = 1 << 22
 _PLACE_BITS = 23
@@ -163,6 +169,9 @@ def merge(shards: list[Shard], min_words: int) -> tuple[np.ndarray, np.ndarray,
         s = symbol[order]
         going = np.flatnonzero(s >= ending)  # a suffix that starts at a segment's end shares nothing
         to = going[np.argsort(s[going], kind="stable")]
+        if not len(to):
+            order, block = to, to
+            break
         c, b = s[to], block[to]
         edge = np.concatenate(([True], (c[1:] != c[:-1]) | (b[1:] != b[:-1]), [True]))
         together = ~(edge[:-1] & edge[1:])
@@ -175,7 +184,7 @@ def merge(shards: list[Shard], min_words: int) -> tuple[np.ndarray, np.ndarray,
     return shard, suffix, block
 
 
-def repeated_spans(pieces: list[np.ndarray], times: np.ndarray, docs: np.ndarray, min_words: int, shard_words: int = 1 << 20):
+def repeated_spans(pieces: list[np.ndarray], times: np.ndarray, docs: np.ndarray, min_words: int, shard_words: int = SHARD_WORDS):
     """For distinct segments that occur ``times`` each, first in the document ``docs``: (segment, from, to, first document) of repeated words.
 
     Windows overlap into spans; a span's document is the smallest that has one of its windows.
@@ -212,14 +221,23 @@ def repeated_spans(pieces: list[np.ndarray], times: np.ndarray, docs: np.ndarray
     return of[begins], at[begins], at[ends] + min_words, np.minimum.reduceat(first, begins)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def repeated_passages(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    gram: int = GRAM,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    hot: int = HOT,
+    shard_words: int = SHARD_WORDS,
+    at_once: int = AT_ONCE,
+) -> DataFrame:
     """(doc_id, first_word, end_word, n_words, first_doc_id): the maximal runs of words of each document that lie in repeated passages.
 
     Words are numbered from 0, end_word is exclusive. ``first_doc_id`` is the smallest id of a document with one of the run's
     passages; the run is the first occurrence where it equals doc_id. A passage that occurs twice within one document is repeated too, also
     when the occurrences overlap. Texts of fewer than ``min_words`` words, null and empty ones have no passages. Rows without an id take
-    no part. Rows equal in id and text are one document; rows with the same id and different texts are different documents, reported
-    under one id. Words are compared by 31-bit hashes, all ``min_words`` of them. Other columns are never read. An empty table gives an empty table.
+    no part; ids must be whole numbers, or strings of them. Rows equal in id and text are one document; rows with the same id and different texts are different documents, reported
+    under one id. Words are compared by 31-bit hashes, all ``min_words`` of them. ``hot``, ``shard_words`` and ``at_once`` do not change the result. Other columns are never read. An empty table gives an empty table.
     """
     if not 1 <= gram <= min_words:
         raise ValueError("gram must be from 1 to min_words")
@@ -250,36 +268,53 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
                 owner = np.repeat(np.arange(high - low), part.value_lengths().to_numpy(zero_copy_only=False))
                 first, size = flat.field(0).to_numpy(), flat.field(1).to_numpy()
                 begin = tokens.offsets[:-1][owner] + first
-                content = [words[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + size).tolist())]
+                hot_ones = np.flatnonzero(flat.field(3).to_numpy(zero_copy_only=False))
+                whole = np.setdiff1d(np.arange(len(owner)), hot_ones)
+                # A hot segment goes window by window, as digests without words.
+                windows = size[hot_ones] - min_words + 1
+                of = np.concatenate((whole, np.repeat(hot_ones, windows)))
+                shift = np.concatenate((np.zeros(len(whole), dtype=np.int64), np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)))
+                n_words = np.concatenate((size[whole], np.full(int(windows.sum()), min_words)))
+                at = begin[of] + shift
+                content = [words[a:b].tobytes() for a, b in zip(at.tolist(), (at + n_words).tolist())]
                 keys = [hashlib.blake2b(x, digest_size=16).digest() for x in content]
-                who = pa.array(owner + low)
-                arrays = [ids.take(who), digests.take(who), pa.array(first), flat.field(2), pa.array(keys, pa.binary()), pa.array(content, pa.binary())]
+                content[len(whole) :] = [None] * (len(content) - len(whole))
+                who = pa.array(owner[of] + low)
+                arrays = [ids.take(who), digests.take(who), pa.array(first[of] + shift), flat.field(2).take(pa.array(of)), pa.array(keys, pa.binary()), pa.array(content, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "first", "mini", "key", "words"])
 
+    def refined(minis, keys, pieces, times, ids):
+        of, a, b, first = repeated_spans(pieces, np.array(times), np.array(ids), min_words, shard_words)
+        key = pa.array([keys[i] for i in of.tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.array(minis)[of]), key, pa.array(a), pa.array(b), pa.array(first)], names=["mini", "key", "low", "high", "first_doc_id"])
+
     def refine(batches):
-        minis, keys, pieces, times, ids = [], [], [], [], []
+        """Segments come sorted by minimiser; those of one are never parted."""
+        have, n = tuple([] for _ in range(5)), 0
         for batch in batches:
-            minis.append(batch.column(0).to_numpy())
-            keys += batch.column(1).to_pylist()
-            pieces += [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in batch.column(2).to_pylist()]
-            times.append(batch.column(3).to_numpy())
-            ids.append(batch.column(4).to_numpy())
-        if pieces:
-            of, a, b, first = repeated_spans(pieces, np.concatenate(times), np.concatenate(ids), min_words)
-            key = pa.array([keys[i] for i in of.tolist()], pa.binary())
-            arrays = [pa.array(np.concatenate(minis)[of]), key, pa.array(a), pa.array(b), pa.array(first)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["mini", "key", "low", "high", "first_doc_id"])
+            for mini, key, words, times, doc in zip(*(c.to_pylist() for c in batch.columns)):
+                if n >= at_once and mini != have[0][-1]:
+                    yield refined(*have)
+                    have, n = tuple([] for _ in range(5)), 0
+                piece = np.frombuffer(words, dtype="<u4").astype(np.int64)
+                for column, value in zip(have, (mini, key, piece, times, doc)):
+                    column.append(value)
+                n += len(piece)
+        if n:
+            yield refined(*have)
 
     # Repeated rows can make a minimiser look repeated; the transforms, which see each document once, settle that.
     found = read.mapInArrow(find, "id long, digest long, first long, size long, mini long, times long")
-    repeated = found.groupBy("mini").agg(F.sum("times").alias("n")).where("n > 1").select("mini")
-    left = found.drop("times").join(repeated, "mini", "left_semi").groupBy("id", "digest").agg(F.collect_set(F.struct("first", "size", "mini")).alias("places"))
+    repeated = found.groupBy("mini").agg(F.sum("times").alias("n")).where("n > 1").select("mini", (F.col("n") > hot).alias("hot"))
+    left = found.drop("times").join(repeated, "mini").groupBy("id", "digest").agg(F.collect_set(F.struct("first", "size", "mini", "hot")).alias("places"))
     with_text = read.dropDuplicates(["id", "digest"]).join(left, ["id", "digest"]).select("id", "digest", "text", "places")
     placed = with_text.mapInArrow(words_of, "id long, digest long, first long, mini long, key binary, words binary")
 
     # Words cross the network to be merged, and then to be refined; their places meet the outcome by a 128-bit key.
     merged = placed.groupBy("mini", "key", "words").agg(F.count("*").alias("times"), F.min("id").alias("doc"))
-    spans = merged.select("mini", "key", "words", "times", "doc").repartition("mini").mapInArrow(refine, "mini long, key binary, low long, high long, first_doc_id long")
+    cold = merged.where("words is not null").select("mini", "key", "words", "times", "doc").repartition("mini").sortWithinPartitions("mini")
+    often = merged.where("words is null and times > 1").select("mini", "key", F.lit(0).cast("long").alias("low"), F.lit(min_words).cast("long").alias("high"), F.col("doc").alias("first_doc_id"))
+    spans = cold.mapInArrow(refine, "mini long, key binary, low long, high long, first_doc_id long").unionByName(often)
     back = placed.drop("words").join(spans, ["mini", "key"]).select("id", "digest", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"), "first_doc_id")
     return joined_spans(back)
 

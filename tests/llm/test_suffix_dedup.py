@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from callweave.llm.suffix_dedup import repeated_passages
+from callweave.llm.suffix_dedup import repeated_passages, repeated_spans
 
 
 def brute(rows, n):
@@ -47,7 +50,41 @@ def test_against_brute_force(spark, seed):
         rows.append((i, " ".join([parts[0], rng.choice(passages), parts[1], rng.choice(passages), parts[2]])))
     rows += rows[:5] + [(3, rows[9][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert result(repeated_passages(df, min_words=6, gram=2)) == brute(rows, 6)
+    want = brute(rows, 6)
+    assert result(repeated_passages(df, min_words=6, gram=2)) == want
+    assert result(repeated_passages(df, min_words=6, gram=2, shard_words=40, at_once=200)) == want
+    for hot in (0, 3, 8):
+        assert result(repeated_passages(df, min_words=6, gram=2, hot=hot)) == want
+
+
+def spans_of(pieces, n, **params):
+    times, docs = np.ones(len(pieces), dtype=np.int64), np.arange(len(pieces))
+    return sorted(zip(*(x.tolist() for x in repeated_spans([np.array(p, dtype=np.int64) for p in pieces], times, docs, n, **params))))
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_shared_heads(n):
+    """Two segments that share their first k words and nothing else, for every k, in one shard or several."""
+    for k in range(2 * n + 2):
+        for more in range(n + 2):
+            head = list(range(100, 100 + k))
+            pieces = [head + [1000 + i * 50 + j for j in range(more)] for i in range(3)]
+            pieces = [p for p in pieces if len(p) >= n]
+            want = [(i, 0, k, 0) for i in range(len(pieces))] if k >= n and len(pieces) > 1 else []
+            if pieces:
+                assert spans_of(pieces, n) == want and spans_of(pieces, n, shard_words=1) == want
+
+
+@given(st.lists(st.lists(st.integers(1, 4), min_size=4, max_size=14), min_size=1, max_size=9), st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_merged_shards_equal_windows(pieces, shard_words):
+    pieces = [list(x) for x in dict.fromkeys(map(tuple, pieces))]
+    places = {}
+    for i, p in enumerate(pieces):
+        for k in range(len(p) - 3):
+            places.setdefault(tuple(p[k : k + 4]), []).append((i, k))
+    words = {(i, k + j) for at in places.values() if len(at) > 1 for i, k in at for j in range(4)}
+    assert {(i, k) for i, a, b, _ in spans_of(pieces, 4, shard_words=shard_words) for k in range(a, b)} == words
 
 
 def test_odd_rows(spark):
