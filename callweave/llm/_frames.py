@@ -50,6 +50,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """The id column as a long. Other than whole numbers, whose order and arithmetic the caller needs, are refused by type, before any row is read."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{name} must be of an integer type, not {kind.simpleString()}")
+    return df[quoted(name)].cast("long")
+
+
 def tie_break(df: DataFrame, id_col: str, skip: tuple[str, ...] = ()) -> Column:
     """A total order of rows: rows with an id first, by id, then by the JSON of the remaining columns."""
     rest = [df[quoted(c)].alias(c) for c in df.columns if c not in (id_col, *skip)]

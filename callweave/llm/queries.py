@@ -26,12 +26,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_plan(table(spark, sf_dir, "documents"))
-
-
-def op4_mixing_on_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op4_mixing, with the largest budget that every source can meet instead of 80 % of all blocks."""
-    return mixing.mixing_plan(table(spark, sf_dir, "documents"), budget=None)
+    return mixing.mixing_plan(table(spark, sf_dir, "documents"), mixing.WEIGHTS)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +54,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
 
 
-def op10_quality_rules_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_quality_rules, with the threshold from held-out trusted scores instead of one that fits a single corpus size."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality_rules.quality_rules(docs, labels, held_out=quality_rules.HELD_OUT).drop("text")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,14 +61,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_license_scan,
         op3_best_fit_packing,
         op4_mixing,
-        op4_mixing_on_target,
         op5_secret_scan,
         op6_suffix_dedup,
         op7_chat_format,
         op8_html_extract,
         op9_simhash_near_dedup,
         op10_quality_rules,
-        op10_quality_rules_held_out,
     )
 }
 

@@ -1,5 +1,6 @@
 """Mixing against a plain apportionment, packing by its invariants and against the best packing of small cases."""
 
+import hashlib
 import itertools
 from collections import Counter
 
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from callweave.llm import mixing, packing
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def sainte_lague(weights, has, seats):
     """Seats by highest quotients, one at a time; ties to the smaller name."""
     got = dict.fromkeys(weights, 0)
@@ -31,50 +36,98 @@ def docs(spark):
     return spark.createDataFrame(rows, DOCS).repartition(5).cache()
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 3, "b": 1.5, "": 0.5}, {"c": 1}, {}])
-def test_quotas(spark, docs, weights):
-    params = {"n_blocks": 60, "n_shards": 3, "budget": 0.5}
-    plan = mixing.mixing_plan(docs, weights, **params).collect()
-    whole = mixing.mixing_plan(docs, None, n_blocks=60, n_shards=3, budget=1.0).collect()
-    blocks = {(r.source, r.shard, r.block) for r in whole}
-    assert len({r.unit for r in whole}) == 305
-    has = Counter(s for s, _, _ in blocks)
-    seats = int(0.5 * len(blocks))
-    use = {s: (1.0 if weights is None else weights.get(s, 0)) for s in has}
-    want = {k: v for k, v in sainte_lague(use, has, seats).items() if v}
-    taken = {(r.source, r.shard, r.block) for r in plan}
-    assert Counter(s for s, _, _ in taken) == want
-    for s, quota in want.items():
-        there = Counter(shard for source, shard, _ in blocks if source == s)
-        assert Counter(shard for source, shard, _ in taken if source == s) == {k: v for k, v in sainte_lague(there, there, quota).items() if v}
-    assert {r.unit for r in plan} == {r.unit for r in whole if (r.source, r.shard, r.block) in taken}
-
-
-@pytest.mark.parametrize("weights", [None, {"hot": 1, "b": 2, "c": 1.5}])
-def test_budget_that_every_source_meets(spark, weights):
-    """A hot source takes no seats of those that run out: shares are the target's, and one block more would miss it."""
-    rows = [(i, "x" * 40, "hot" if i % 2 else "bcd"[i // 2 % 3]) for i in range(600)]
+def plain_plan(docs, weights, others, n_blocks, n_shards):
+    """The plan by loops: units, blocks, seats one at a time."""
+    rows = docs.collect()
+    units = {}
+    for r in rows:
+        unit = f"i{r.doc_id}" if r.doc_id is not None else f"t{md5(r.text)}" if r.text is not None else "n"
+        source, tokens = units.get(unit, (None, 0))
+        own = r.source or ""
+        units[unit] = (own if source is None else min(source, own), tokens + -(-len((r.text or "").encode()) // 4))
+    size = max(1, -(-sum(t for _, t in units.values()) // n_blocks))
+    groups = {}
+    for unit, (source, tokens) in units.items():
+        place = md5(f"{mixing.SEED}|{unit}")
+        groups.setdefault((source, int(place[:8], 16) % n_shards), []).append((place, unit, tokens))
+    blocks, seats = {}, {}
+    for key, members in groups.items():
+        at = 0
+        for _, unit, tokens in sorted(members):
+            blocks.setdefault((*key, at // size), []).append(unit)
+            at += tokens
+        own = sorted(b for s, h, b in blocks if (s, h) == key)
+        for b, after in zip(own, [*own[1:], max(own[-1] + 1, -(-at // size))]):
+            seats[(*key, b)] = after - b
+    has = Counter()
+    for (s, h, b), n in seats.items():
+        has[s] += n
+    use = {s: (weights or {}).get(s, others) for s in has}
+    quota = dict.fromkeys(use, 0)
+    while any(use.values()):
+        k = min((k for k in use if use[k] > 0), key=lambda k: (-use[k] / (2 * quota[k] + 1), k))
+        if quota[k] == has[k]:
+            break
+        quota[k] += 1
+    taken = set()
+    for s, n in quota.items():
+        there = {h: sum(m for (a, c, _), m in seats.items() if (a, c) == (s, h)) for a, h in groups if a == s}
+        for h, q in sainte_lague(there, there, n).items():
+            at, chance = 0, (int(md5(f"{mixing.SEED}|{h}|{s}")[:8], 16) + 1) / 2**32
+            for key in sorted((k for k in seats if k[:2] == (s, h)), key=lambda k: (md5(f"{mixing.SEED}|{s}|{h}|{k[2]}"), k[2])):
+                if at + seats[key] * chance <= q:
+                    taken.add(key)
+                at += seats[key]
+    return {(unit, *key) for key in taken for unit in blocks[key]}, quota, size, {u: t for u, (_, t) in units.items()}
+
+
+@pytest.mark.parametrize("weights,others", [(None, 1), ({"a": 3, "b": 1.5, "": 0.5}, 0), ({"c": 1}, 0), ({"a": 0.1, "b": 0.1, "c": 0.3}, 0.1), (None, 0)])
+def test_plan_against_loops(spark, docs, weights, others):
+    params = {"n_blocks": 2000, "n_shards": 3}
+    plan = mixing.mixing_plan(docs, weights, others, **params).collect()
+    want, quota, _, _ = plain_plan(docs, weights, others, **params)
+    assert {(r.unit, r.source, r.shard, r.block) for r in plan} == want and len(plan) == len(want)
+    assert bool(want) == (others > 0 or weights is not None)
+    assert mixing.mixing_plan(docs.limit(0), weights, others).count() == 0
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 1.0, "b": 2.0, "c": 1.5}, {"hot": 5.0}])
+def test_targets_are_met(spark, weights):
+    """A hot source takes no seats of those that run out, and long documents count all their tokens: shares are the target's, at a cost of some tokens."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "x" * int(40 * rng.choice([1, 2, 5, 60])), "hot" if i % 2 else "bcd"[i // 2 % 3]) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    params = {"n_blocks": 600, "n_shards": 3}
-    plan = mixing.mixing_plan(docs, weights, budget=None, **params)
-    has = Counter(s for _, _, s in rows)
-    use = weights or dict.fromkeys(has, 1.0)
-    seats = max(n for n in range(601) if sainte_lague(use, has, n) == sainte_lague(use, dict.fromkeys(use, 600), n))
-    assert Counter(r.source for r in plan.collect()) == {k: v for k, v in sainte_lague(use, has, seats).items() if v} and seats > 200
+    plan = mixing.mixing_plan(docs, weights)
     shares = {r.source: r for r in mixing.mixing_shares(docs, plan, weights).collect()}
-    assert all(abs(r.target - r.reached) < 0.01 for r in shares.values()) and len(shares) == 4
-    capped = mixing.mixing_shares(docs, mixing.mixing_plan(docs, weights, **params), weights).where("source = 'hot'").first()
-    assert capped.reached > capped.target + 0.1
-    assert mixing.mixing_plan(docs.limit(0), weights, budget=None).count() == 0
+    assert len(shares) == 4 and all(abs(r.target - r.reached) < 0.04 for r in shares.values())
+    assert any(r.tokens > 0.9 * r.of_tokens for r in shares.values())
+    assert abs(sum(r.reached for r in shares.values()) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_closed_form_of_quotas(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"s{i}", float(rng.choice([0.0, 0.1, 0.3, 1, 2, 3, 1 / 3])), int(rng.integers(1, 60))) for i in range(12)]
+    got = {r.source: r.quota for r in mixing.source_quotas(spark.createDataFrame(rows, "source string, weight double, has long")).collect()}
+    quota = {s: 0 for s, w, _ in rows if w > 0}
+    weight, has = {s: w for s, w, _ in rows}, {s: n for s, _, n in rows}
+    while quota:
+        k = min(quota, key=lambda k: (-weight[k] / (2 * quota[k] + 1), k))
+        if quota[k] == has[k]:
+            break
+        quota[k] += 1
+    assert got == {k: v for k, v in quota.items() if v}
 
 
 def test_mix_sources(spark, docs):
-    kept = mixing.mix_sources(docs, n_blocks=60, n_shards=3, budget=0.5)
-    plan = {r.unit for r in mixing.mixing_plan(docs, n_blocks=60, n_shards=3, budget=0.5).collect()}
+    kept = mixing.mix_sources(docs, {"a": 2.0}, n_blocks=600, n_shards=3)
+    plan = {r.unit for r in mixing.mixing_plan(docs, {"a": 2.0}, n_blocks=600, n_shards=3).collect()}
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(r.doc_id for r in docs.collect() if f"i{r.doc_id}" in plan)
-    assert sorted(map(str, kept.collect())) == sorted(map(str, mixing.mix_sources(docs.repartition(3), n_blocks=60, n_shards=3, budget=0.5).collect()))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, mixing.mix_sources(docs.repartition(3), {"a": 2.0}, n_blocks=600, n_shards=3).collect()))
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+    words = docs.select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), "text", "source", *[F.lit(1).alias(c) for c in ("_unit", "unit_", "_row", "shard", "tokens")])
+    assert mixing.mix_sources(words, {"a": 2.0}).columns == words.columns and mixing.mix_sources(words, {"a": 2.0}).count() > 0
 
 
 def test_best_fit():

@@ -12,9 +12,10 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 @pytest.mark.parametrize("name", list(ORACLES))
-def test_against_sql(spark, name):
-    assert compare(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) == ""
+def test_against_sql(spark, name, sf):
+    assert compare(QUERIES[name](spark, sf), connect(sf), ORACLES[name]) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
