@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm._frames import checkpointed, quoted
+from callweave.llm._frames import checkpointed, quoted, whole_id
 from callweave.llm.mixing import tokens_of
 from callweave.session import importable
 
@@ -120,13 +120,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PAR
     """(bin_id, doc_id, piece, n_tokens, start, certified): every piece of every document with a token, its bin and its place in it.
 
     Tokens are estimated from the whole text's bytes. Null and empty texts have no token and no piece. Rows without an id are packed, with a
-    null doc_id. Ids must be whole numbers, or strings of them. Each of several equal rows is packed: packing drops nothing. Ties of length are broken by id and piece, and equal rows are
+    null doc_id. Ids must be whole numbers. Each of several equal rows is packed: packing drops nothing. Ties of length are broken by id and piece, and equal rows are
     interchangeable, so the table of results is the same in every run. ``certified`` says that the number of bins of the group that the bin ended
     in, through all its exchanges, meets a lower bound. Other columns, whatever their names, are never read. An empty table gives an empty table.
     """
     spark = importable(docs.sparkSession)
     share = max(1, per_partition // FAN_IN)
-    texts = docs.select(docs[quoted(id_col)].cast("long").alias("doc_id"), tokens_of(docs[quoted(text_col)]).alias("tokens")).where("tokens > 0")
+    texts = docs.select(whole_id(docs, id_col).alias("doc_id"), tokens_of(docs[quoted(text_col)]).alias("tokens")).where("tokens > 0")
     last = F.floor((F.col("tokens") - 1) / capacity).cast("int")
     pieces = texts.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece").cast("long") * capacity).cast("int").alias("n_tokens"))

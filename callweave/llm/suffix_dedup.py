@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm._frames import Tokens, mix64, quoted, text_chunks
+from callweave.llm._frames import Tokens, mix64, quoted, text_chunks, whole_id
 from callweave.session import importable
 
 MIN_WORDS = 50
@@ -236,7 +236,7 @@ def repeated_passages(
     Words are numbered from 0, end_word is exclusive. ``first_doc_id`` is the smallest id of a document with one of the run's
     passages; the run is the first occurrence where it equals doc_id. A passage that occurs twice within one document is repeated too, also
     when the occurrences overlap. Texts of fewer than ``min_words`` words, null and empty ones have no passages. Rows without an id take
-    no part; ids must be whole numbers, or strings of them. Rows equal in id and text are one document; rows with the same id and different texts are different documents, reported
+    no part; ids must be whole numbers. Rows equal in id and text are one document; rows with the same id and different texts are different documents, reported
     under one id. Words are compared by 31-bit hashes, all ``min_words`` of them. ``hot``, ``shard_words`` and ``at_once`` do not change the result. Other columns are never read. An empty table gives an empty table.
     """
     if not 1 <= gram <= min_words:
@@ -245,7 +245,7 @@ def repeated_passages(
     text = docs[quoted(text_col)]
     # A passage of n words has 2 n - 1 characters at least.
     read = docs.where(docs[quoted(id_col)].isNotNull() & (F.length(text) >= 2 * min_words - 1))
-    read = read.select(docs[quoted(id_col)].cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    read = read.select(whole_id(docs, id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
     def find(batches):
         for batch in batches:
@@ -311,9 +311,10 @@ def repeated_passages(
     placed = with_text.mapInArrow(words_of, "id long, digest long, first long, mini long, key binary, words binary")
 
     # Words cross the network to be merged, and then to be refined; their places meet the outcome by a 128-bit key.
-    merged = placed.groupBy("mini", "key", "words").agg(F.count("*").alias("times"), F.min("id").alias("doc"))
-    cold = merged.where("words is not null").select("mini", "key", "words", "times", "doc").repartition("mini").sortWithinPartitions("mini")
-    often = merged.where("words is null and times > 1").select("mini", "key", F.lit(0).cast("long").alias("low"), F.lit(min_words).cast("long").alias("high"), F.col("doc").alias("first_doc_id"))
+    merged = placed.groupBy("mini", "key", "words").agg(F.count("*").alias("times"), F.min("id").alias("doc"), F.max(F.col("words").isNull()).alias("bare"))
+    # Filters on an aggregate stay above the exchange, so that both read the same one.
+    cold = merged.where("not bare").select("mini", "key", "words", "times", "doc").repartition("mini").sortWithinPartitions("mini")
+    often = merged.where("bare and times > 1").select("mini", "key", F.lit(0).cast("long").alias("low"), F.lit(min_words).cast("long").alias("high"), F.col("doc").alias("first_doc_id"))
     spans = cold.mapInArrow(refine, "mini long, key binary, low long, high long, first_doc_id long").unionByName(often)
     back = placed.drop("words").join(spans, ["mini", "key"]).select("id", "digest", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"), "first_doc_id")
     return joined_spans(back)

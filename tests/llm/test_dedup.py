@@ -59,20 +59,21 @@ def test_fingerprints_and_tokens():
     assert tokens.hashes.tolist() == [token_hash(x) for x in ("a", "bb", "é")] and tokens.counts.tolist() == [2, 0, 1]
 
 
-@pytest.mark.parametrize("budget,leaf", [(23, 1 << 18), (12, 16)])
-def test_near_pairs_are_complete(spark, budget, leaf):
+@pytest.mark.parametrize("budget,leaf,chunk", [(23, 1 << 18, 1 << 20), (12, 16, 1 << 20), (23, 40, 20), (23, 200, 30), (3, 20, 10), (29, 30, 1 << 20)])
+def test_near_pairs_are_complete(spark, budget, leaf, chunk):
+    """Whatever the depth of the cut and the size of chunks, every pair within the budget comes once."""
     rng = np.random.default_rng(budget)
     base = rng.integers(0, 1 << 63, size=(12, 2), dtype=np.int64)
     rows = []
     for i in range(150):
         value = int(base[i % 12][0]) << 64 | int(base[i % 12][1])
-        for b in rng.choice(128, size=int(rng.integers(0, 20)), replace=False):
+        for b in rng.choice(128, size=int(rng.integers(0, budget)), replace=False):
             value ^= 1 << int(b)
         rows.append(value)
     rows = sorted(set(rows))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(i, signed(v >> 64), signed(v & (1 << 64) - 1)) for i, v in enumerate(rows)], "rep long, hi long, lo long")
-    got = sorted((min(r.a, r.b), max(r.a, r.b), r.hamming) for r in simhash.near_pairs(df, budget, leaf).where("a <> b").collect())
+    got = sorted((min(r.a, r.b), max(r.a, r.b), r.hamming) for r in simhash.near_pairs(df, budget, leaf, chunk).where("a <> b").collect())
     want = [(i, j, (rows[i] ^ rows[j]).bit_count()) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (rows[i] ^ rows[j]).bit_count() <= budget]
     assert got == want
 
@@ -102,8 +103,12 @@ def test_near_duplicates(spark):
     left = simhash.drop_near_duplicates(df)
     assert left.columns == df.columns and left.count() == len(texts) - len(want)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit(1) for c in ("_gone", "_row", "id", "lo")})
+    assert simhash.drop_near_duplicates(clash).columns == clash.columns and simhash.drop_near_duplicates(clash).count() == left.count()
     with pytest.raises(ValueError):
         simhash.near_pairs(df, budget=99)
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(df.withColumn("doc_id", F.lit("a")))
 
 
 def test_components(spark):
