@@ -7,7 +7,8 @@ all below it (but for elements without content, such as br) are under ``threshol
 remains is the text.
 
 Scale: pages are parsed twice. Between the passes only node statistics are shuffled, summed by (host, node), so that the largest host is not one task; per host
-there is one small merged tree, without texts. The list of noisy nodes goes to all tasks if it is at most ``broadcast_rows`` long and is joined by host otherwise.
+there is one small merged tree, without texts. The list of noisy nodes goes to all tasks if it is at most ``broadcast_rows`` long; otherwise pages meet it by host and salt, so
+that a hot host is spread over SALTS tasks. A host's merged tree, of nodes and styles with their counts, is put together in one task.
 """
 
 from __future__ import annotations
@@ -21,21 +22,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from callweave.llm._frames import checkpointed, quoted
+from callweave.llm._frames import checkpointed, quoted, with_fields
 from callweave.session import importable
 
 THRESHOLD = 0.7
 GAMMA = 0.9
 BROADCAST_ROWS = 100_000
+SALTS = 32
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe)\b(?P<rawattr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)"
-    r"|<(?P<open>[a-zA-Z][^\s>/]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
-    re.S | re.I,
-)
+_RAW = frozenset("script style noscript template textarea iframe".split())
+_LETTER = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_NAME = re.compile(r"[^\s>/]+")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code em font i img kbd mark q s samp small span strong sub sup time tt u var wbr".split())
@@ -54,10 +54,79 @@ class Node:
         self.tag, self.text, self.children = tag, text, []
 
 
+def tags(source: str):
+    """(begin, end, kind, name, rest) of all markup, in order. Kinds: "open" and "raw" with a lower-case name and attributes, "close" with a name, "cdata" with its text, "" for what is dropped.
+
+    One pass, in time linear in the page whatever it holds: the end of a quote, comment or raw element that has none is looked for once. An
+    unclosed quote is an ordinary character, an unclosed tag, comment or raw element runs to the page's end.
+    """
+    n, at = len(source), 0
+    gone: dict[str, bool] = {}  # ends that do not occur after `at`
+    lower = source.lower() if source.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), source)
+
+    def ending(mark: str, begin: int, where: str = source) -> int:
+        """Where ``mark`` stands at ``begin`` or later, or -1."""
+        if gone.get(mark):
+            return -1
+        found = where.find(mark, begin)
+        gone[mark] = found < 0
+        return found
+
+    def tag_end(begin: int) -> int:
+        """Place of the ">" that ends a tag's attributes, or the page's end."""
+        while (m := _STOP.search(source, begin)) is not None:
+            if m[0] == ">":
+                return m.start()
+            close = ending(m[0], m.end())
+            begin = m.end() if close < 0 else close + 1
+        return n
+
+    while (begin := source.find("<", at)) >= 0:
+        at = begin + 1
+        after = source[at : at + 1]
+        if after == "!" or after == "?":
+            if source.startswith("!--", at):
+                end = ending("-->", at + 3)
+                at = n if end < 0 else end + 3
+                yield begin, at, "", "", ""
+            elif source.startswith("![CDATA[", at):
+                end = ending("]]>", at + 8)
+                yield begin, n if end < 0 else end + 3, "cdata", "", source[at + 8 : n if end < 0 else end]
+                at = n if end < 0 else end + 3
+            else:
+                end = ending(">", at)
+                at = n if end < 0 else end + 1
+                yield begin, at, "", "", ""
+        elif after == "/" and source[at + 1 : at + 2] in _LETTER:
+            name = _NAME.match(source, at + 1)
+            end = ending(">", name.end())
+            at = n if end < 0 else end + 1
+            yield begin, at, "close", name[0].lower(), ""
+        elif after in _LETTER:
+            name = _NAME.match(source, at)
+            end = tag_end(name.end())
+            tag, rest = name[0].lower(), source[name.end() : end]
+            at = min(n, end + 1)
+            if tag in _RAW:
+                while (close := ending(f"</{tag}", at, lower)) >= 0:
+                    at = close + len(tag) + 2
+                    if not source[at : at + 1].isalnum():
+                        break
+                end = ending(">", at) if close >= 0 else -1
+                at = n if end < 0 else end + 1
+                yield begin, at, "raw", tag, rest
+            else:
+                yield begin, at, "open", tag, rest
+
+
 def parse(source: str) -> Node:
-    """The DOM of a page. Comments, scripts, styles and declarations are dropped; unclosed and stray tags are tolerated; never recursive."""
+    """The DOM of a page. Comments, scripts, styles and declarations are dropped; unclosed and stray tags are tolerated; never recursive.
+
+    A closing tag is looked for among the open elements only if one of its name is open, and what it passes is closed, so that the work is linear.
+    """
     root = Node("#root")
-    stack = [root]
+    stack, names = [root], ["#root"]
+    still: dict[str, int] = {}
     at = 0
 
     def text(raw: str, plain: bool = False) -> None:
@@ -67,28 +136,31 @@ def parse(source: str) -> Node:
         elif words and stack[-1].children and stack[-1].children[-1].tag == TEXT:
             stack[-1].children[-1].text += " "
 
-    for m in _TAG.finditer(source):
-        if m.start() > at:
-            text(source[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            text(m["cdata"], plain=True)
-        elif m["close"]:
-            tag = m["close"].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag.split(".", 1)[0] == tag:
-                    del stack[k:]
-                    break
-        elif m["open"]:
-            tag = m["open"].lower()
+    def close(k: int) -> None:
+        for name in names[k:]:
+            still[name] -= 1
+        del stack[k:], names[k:]
+
+    for begin, end, kind, tag, rest in tags(source):
+        if begin > at:
+            text(source[at:begin])
+        at = end
+        if kind == "cdata":
+            text(rest, plain=True)
+        elif kind == "close":
+            if still.get(tag):
+                close(next(k for k in range(len(names) - 1, 0, -1) if names[k] == tag))
+        elif kind == "open":
             ends = _ENDS.get(tag, set()) | ({"p"} if tag in _BLOCKS_END_P else set())
-            while ends and len(stack) > 1 and (stack[-1].tag.split(".", 1)[0] in ends or stack[-1].tag.split(".", 1)[0] in _INLINE and any(n.tag.split(".", 1)[0] in ends for n in stack[-4:-1])):
-                stack.pop()
-            names = "".join(f".{(a[1] or a[2] or a[3]).strip().lower()}" for a in _NAMED.findall(m["attr"])) if "=" in m["attr"] else ""
-            node = Node(tag + names)
+            while ends and len(stack) > 1 and (names[-1] in ends or names[-1] in _INLINE and any(n in ends for n in names[-4:-1])):
+                close(len(stack) - 1)
+            labels = "".join(f".{(a[1] or a[2] or a[3]).strip().lower()}" for a in _NAMED.findall(rest)) if "=" in rest else ""
+            node = Node(tag + labels)
             stack[-1].children.append(node)
-            if tag not in _VOID and not m["attr"].endswith("/"):
+            if tag not in _VOID and not rest.endswith("/"):
                 stack.append(node)
+                names.append(tag)
+                still[tag] = still.get(tag, 0) + 1
     if at < len(source):
         text(source[at:])
     return root
@@ -264,11 +336,11 @@ def html_extract(
 
     A page whose URL is null or has no host, and the only page of a host, is compared with nothing: its whole text stays. Null and empty
     HTML gives an empty text. Repeated rows are pages of their own (and so make their content look like a template). Nodes of exactly ``threshold`` stay.
-    Rows with a null id are extracted too. An empty table gives an empty table.
+    Rows with a null id are extracted too; ids may be of any type. Other columns, whatever their names, are never read. An empty table gives an empty table.
     """
     importable(pages.sparkSession)
     host = F.lower(F.regexp_extract(pages[quoted(url_col)].cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    read = pages.select(pages[quoted(id_col)].cast("long").alias("page_id"), F.nullif(host, F.lit("")).alias("host"), pages[quoted(html_col)].alias("html"))
+    read = pages.select(pages[quoted(id_col)].alias("page_id"), F.nullif(host, F.lit("")).alias("host"), pages[quoted(html_col)].alias("html"))
     noisy = checkpointed(noisy_nodes(read, threshold, gamma))
     size = noisy.agg(F.coalesce(F.sum(F.size("noisy")), F.lit(0))).first()[0]
 
@@ -286,5 +358,11 @@ def html_extract(
             arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(cuts, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "host", "text", "n_cut"])
 
-    side = F.broadcast(noisy) if size <= broadcast_rows else noisy
-    return read.join(side, "host", "left").select("page_id", "host", "html", "noisy").mapInArrow(extract, "page_id long, host string, text string, n_cut long")
+    if size <= broadcast_rows:
+        joined = read.join(F.broadcast(noisy), "host", "left")
+    else:
+        spread = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
+        salted = noisy.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = spread.join(salted, ["host", "salt"], "left")
+    out = with_fields(T.StructType([read.schema["page_id"]]), ("host", T.StringType()), ("text", T.StringType()), ("n_cut", T.LongType()))
+    return joined.select("page_id", "host", "html", "noisy").mapInArrow(extract, out)

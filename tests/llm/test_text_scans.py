@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -278,3 +279,22 @@ def test_style_tree_against_brute_force(spark, threshold):
 @pytest.mark.parametrize("html,text", [("a<br>b", "a\nb"), ("<p>x<table><tr><td>1<td>2</table>y", "x\n1\n2\ny"), ("<textarea>t</textarea>z", "z"), ("a&nbsp;b", "a b"), ("<![CDATA[<x>]]>", "<x>")])
 def test_parser(html, text):
     assert html_extract.extracted(html_extract.parse(html), frozenset())[0] == text
+
+
+@pytest.mark.parametrize("piece,n", [("<a '", 2_500_000), ('<a "', 2_500_001), ("<div>", 400_000), ("</b>", 2_000_000), ("<script></scriptx", 600_000), ("<![CDATA[", 1_000_000), ("<!--", 2_000_000), ("<", 4_000_000), ("<p class = ", 500_000)])
+def test_hostile_pages_take_linear_time(piece, n):
+    """Megabytes of unclosed quotes, tags, comments and raw elements, and stray closing tags under deep nesting."""
+    began = time.perf_counter()
+    root = html_extract.parse(piece * n + "</i></b>" * 1000 + " tail")
+    html_extract.extracted(root, frozenset())
+    assert time.perf_counter() - began < 30
+
+
+def test_threshold_itself_stays(spark):
+    """A node whose importance equals the threshold is not noisy: the text "same" on two of four pages, in exact numbers."""
+    df = spark.createDataFrame([("h.com", f"<div>{t}</div>") for t in ("a", "a", "b", "b")], "host string, html string")
+    value = 1 - math.log(2) / math.log(4)  # both texts have entropy ln 2 over four pages
+    assert value == 0.5
+    keys = {k for r in html_extract.noisy_nodes(df, threshold=0.5).collect() for k in r.noisy}
+    text_key = next(key for node, key, *_ in html_extract.walk(html_extract.parse("<div>a</div>")) if node.tag == html_extract.TEXT)
+    assert text_key not in keys and text_key in {k for r in html_extract.noisy_nodes(df, threshold=0.51).collect() for k in r.noisy}
