@@ -96,14 +96,76 @@ def test_license_scan(spark):
         (1, "Apache-2.0", "own", None): 1, (2, "MIT", "own", None): 1, (3, "MIT", "inherited", "a"): 2, (4, "MIT", "inherited", "a"): 1, (5, None, "none", None): 1, (6, None, "none", None): 1,
         (7, None, "none", None): 1, (8, "MIT", "own", None): 1, (9, "Apache-2.0", "own", None): 1, (10, winner, "inherited", "w"): 1, (None, winner, "inherited", "w"): 1,
     })
-    # Every line of every text, without the shortcut through rare words.
-    texts = [t or "" for _, _, t in rows]
-    df_words = {w: sum(w in set(licenses._WORD.findall(t.lower())) for t in texts) for _, tpl in licenses.TEMPLATES for w in licenses._WORD.findall(tpl.lower())}
-    model = licenses.Model(licenses.TEMPLATES, len(texts), df_words, licenses.THRESHOLD)
-    for t, (name, score, _, _) in zip(texts, model.scan(texts)):
-        best = max((model.best(line)[1::-1] for line in t.split("\n")), key=lambda p: p[0])
-        assert (name, score) == ((best[1], round(best[0], 6)) if best[0] >= licenses.THRESHOLD else (None, None))
     assert licenses.license_scan(df.limit(0)).count() == 0
+    named = licenses.license_scan(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert {(r.doc_id, r.license) for r in named.collect()} == {(f"d{r.doc_id}" if r.doc_id is not None else None, r.license) for r in out}
+
+
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {0} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */ int main() {{ return 0; }}
+"""
+TERMS = """* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD = "Copyright 2020 A. Author. All rights reserved.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+THIRD = "* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+FOUND = (
+    (GPL.format(2), "GPL-2.0"), (GPL.format(3), "GPL-3.0"), (GPL.format(3).replace("General", "Affero General"), "AGPL-3.0"), (GPL.format("2.1").replace("General", "Lesser General").replace("program", "library"), "LGPL-2.1"),
+    ("// SPDX-License-Identifier: BSD-2-Clause\ncode", "BSD-2-Clause"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: Frobnicate", None),
+    ("A long paragraph on one line about many things, which says that the tool is released under the MIT License, and goes on about others for a while.", "MIT"),
+    ("x=1;" * 300 + "/* Licensed under the Apache License, Version 2.0 (the 'License'); you may not use this file except in compliance with the License. */" + "y=2;" * 300, "Apache-2.0"),
+    (BSD + TERMS.format(""), "BSD-2-Clause"), (BSD + TERMS.format(THIRD), "BSD-3-Clause"), ("Copyright 2001 A. Author. All rights reserved.", "LicenseRef-Proprietary"),
+    ("the general public has a right to free software of any version " * 50, None), ("word " * 300_000 + "Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+)
+
+
+def plain_license(text, templates, n_docs, df):
+    """Every window of every template, word by word."""
+    words = re.findall("[0-9a-z\u0080-\U0010ffff]+", text.lower())
+    idf = lambda w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1
+    best, hits = (0.0, None, None), set()
+    for name, counts, threshold in templates:
+        size = sum(counts.values())
+        norm = math.sqrt(sum((n * idf(w)) ** 2 for w, n in counts.items()))
+        last = max(0, len(words) - size)
+        for start in sorted({*range(0, last + 1, max(1, size // 8)), last}):
+            window = words[start : start + size]
+            have = Counter(w for w in window if w in df)
+            length = math.sqrt(sum((n * idf(w)) ** 2 for w, n in have.items()) + (len(window) - have.total()) * idf("") ** 2)
+            cosine = sum(n * idf(w) * counts.get(w, 0) * idf(w) for w, n in have.items()) / norm / length if length else 0
+            if cosine >= threshold:
+                hits.update(range(start, start + len(window)))
+                if (value := cosine * math.log(len(window) + 1)) > best[0] + 1e-12:
+                    best = (value, name, round(cosine, 6))
+    return *best[1:], len(hits), len(words)
+
+
+def test_headers_and_licence_files():
+    """Wrapped headers, tags, phrases in a line, versions and clauses; each text but the longest against every window."""
+    templates = licenses.default_templates()
+    texts = [t for t, _ in FOUND]
+    vocabulary = {w for _, counts, _ in templates for w in counts}
+    df = {w: 0 for w in vocabulary}
+    for t in texts:
+        for w in set(re.findall("[0-9a-z]+", t.lower())) & vocabulary:
+            df[w] += 1
+    n_docs = 1000
+    got = licenses.Model(templates, n_docs, df).scan(texts)
+    assert [name for name, *_ in got] == [name for _, name in FOUND]
+    for text, found in zip(texts, got):
+        if len(text) < 10_000:
+            name, score, hit, words = plain_license(text, templates, n_docs, df)
+            assert (found[0], found[2], found[3]) == (name, hit, words) and (score is None and found[1] is None or abs(score - found[1]) < 2e-6)
 
 
 def plain_secrets(text, known=()):
