@@ -2,8 +2,8 @@
 
 Each source is cut, shard by shard, into blocks of ``total tokens / n_blocks`` tokens, in a seeded order. A document belongs to the block that
 it begins in; a block counts as many seats as there are blocks up to the next one that a document begins in, so that a seat is worth the same
-tokens however long documents are. The budget is the most seats that every source can fill: seats go to sources by highest quotients
-weight / (2k + 1) until the next one would go to a source that has no block left. Each source's integer quota then goes to its shards by
+tokens however long documents are. Seats go to sources by highest quotients weight / (2k + 1). The budget follows from the targets: a source that has no block left
+ends the apportionment, unless the sources that ran out hold at most ``short`` of all weight together, which are then taken whole. Each source's integer quota then goes to its shards by
 the same rule, with the shard's seats as its votes. Every shard takes blocks in a seeded order up to its quota; the block that straddles the quota is
 taken with a chance in proportion to the part of it that fits, by a seeded number, so that long documents do not shift the shares.
 
@@ -29,6 +29,9 @@ BYTES_PER_TOKEN = 4
 #: Target weights of the registered query and of the pipeline: named sources, and every other one.
 WEIGHTS = {"src0": 3.0, "src1": 0.5, "src2": 0.75}
 OTHERS = 1.0
+SHORT = 0.05
+#: So many sources at once are looked at on the driver.
+LISTED = 10_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -64,19 +67,47 @@ def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return rows.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
 
 
-def source_quotas(sources: DataFrame) -> DataFrame:
-    """(source, quota) from (source, weight, has): the most seats by highest quotients that no source runs out of.
+def _end(there: DataFrame, allowed: float) -> tuple[str, float] | None:
+    """(source, quotient) of the first source, by falling quotient of the seat it has no block for, at which the weights add up to more than ``allowed``.
 
-    The first seat that its source cannot fill ends the apportionment. Every earlier seat counts: for each source the number of k whose quotient comes
-    before, from the inverse of the quotient, put right by comparing the five seats around it.
+    Bins of quotients, 64 at a time, are summed until the one that holds it has at most LISTED sources.
     """
-    there = sources.where("weight > 0 and has > 0")
-    end = there.select("source", (F.col("weight") / (2 * F.col("has") + 1)).alias("quotient")).orderBy(F.col("quotient").desc(), "source").first()
+    base, bounds = 0.0, there.agg(F.min("out"), F.max("out")).first()
+    low, high = bounds
+    if low is None:
+        return None
+    within = there
+    while low < high and within.count() > LISTED:
+        step = (high - low) / 64
+        bins = within.groupBy(F.least(F.lit(63), F.floor((F.col("out") - low) / step)).alias("bin")).agg(F.sum("weight").alias("weight"), F.min("out").alias("low"), F.max("out").alias("high"))
+        for row in sorted(bins.collect(), key=lambda r: -r.bin):
+            if base + row.weight > allowed:
+                low, high = row.low, row.high
+                break
+            base += row.weight
+        within = there.where((F.col("out") >= low) & (F.col("out") <= high))
+    for row in within.orderBy(F.col("out").desc(), "source").select("source", "weight", "out").limit(LISTED).collect():
+        base += row.weight
+        if base > allowed:
+            break
+    return row.source, row.out
+
+
+def source_quotas(sources: DataFrame, short: float = SHORT) -> DataFrame:
+    """(source, quota) from (source, weight, has): seats by highest quotients, until more than ``short`` of all weight has run out of blocks.
+
+    Every seat before the end counts: for each source the number of k whose quotient comes before, from the inverse of the quotient, put right by
+    comparing the five seats around it, and no more than the source has.
+    """
+    there = sources.where("weight > 0 and has > 0").withColumn("out", F.col("weight") / (2 * F.col("has") + 1))
+    whole = there.agg(F.sum("weight")).first()[0]
+    end = _end(there, short * whole) if whole else None
     if end is None:
         return there.select("source", F.col("has").alias("quota"))
-    around = F.greatest(F.lit(0), F.floor((F.col("weight") / F.lit(end.quotient) - 1) / 2) - 2).cast("long")
+    source, last = end
+    around = F.greatest(F.lit(0), F.floor((F.col("weight") / F.lit(last) - 1) / 2) - 2).cast("long")
     quotient = lambda k: F.col("weight") / (2 * k + 1)
-    before = lambda k: (quotient(k) > end.quotient) | (quotient(k) == end.quotient) & (F.col("source") < end.source)
+    before = lambda k: (quotient(k) > last) | (quotient(k) == last) & (F.col("source") < source)
     seats = F.col("around") + F.size(F.filter(F.sequence("around", F.col("around") + 4), before))
     return there.withColumn("around", around).select("source", F.least("has", seats.cast("long")).alias("quota")).where("quota > 0")
 
@@ -85,6 +116,7 @@ def mixing_plan(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     others: float = OTHERS,
+    short: float = SHORT,
     n_blocks: int = N_BLOCKS,
     n_shards: int = N_SHARDS,
     seed: int = SEED,
@@ -95,8 +127,8 @@ def mixing_plan(
     """The selected units: (unit, doc_id, source, shard, block, tokens).
 
     ``weights`` gives target shares of named sources, in any unit; every other source has weight ``others``. Sources of weight 0 get nothing. A weighted
-    source without rows is left aside. The scarcest source, relative to its weight, bounds the whole result: name one of weight 0 to leave it out. Null
-    sources count as the source ''. Rows that share an id are one unit, of the smallest of its sources and all its rows' tokens; rows with
+    source without rows is left aside. The scarcest sources, relative to their weights, bound the whole result,
+    but for those of ``short`` of all weight together: name sources of weight 0 to leave them out. Null sources count as the source ''. Rows that share an id are one unit, of the smallest of its sources and all its rows' tokens; rows with
     neither id nor text are one unit. Ids may be of any type. Empty texts weigh 0 tokens and go with the block they fall in. Ties of quotients go to the
     smaller source, then shard. Other columns, whatever their names, are never read. An empty table gives an empty plan. mixing_shares() reports what was reached.
     """
@@ -118,7 +150,7 @@ def mixing_plan(
 
     shards = there.groupBy("source", "shard").agg(F.sum("seats").alias("has"))
     sources = shards.groupBy("source").agg(F.sum("has").alias("has")).withColumn("weight", _weight(weights, others))
-    by_source = source_quotas(checkpointed(sources))
+    by_source = source_quotas(checkpointed(sources), short)
 
     steps = F.explode(F.sequence(F.lit(0).cast("long"), F.col("has") - 1)).alias("k")  # n_blocks seats in all
     votes = shards.join(by_source, "source").select("source", "shard", "has", "quota", steps)
@@ -150,7 +182,7 @@ def mixing_shares(docs: DataFrame, plan: DataFrame, weights: dict[str, float] |
     return rows.select("source", F.try_divide("weight", "weights").alias("target"), F.try_divide("tokens", "all_tokens").alias("reached"), "tokens", "of_tokens")
 
 
-def oracle(weights: dict[str, float], others: float = OTHERS) -> str:
+def oracle(weights: dict[str, float], others: float = OTHERS, short: float = SHORT) -> str:
     """DuckDB SQL of mixing_plan(documents, weights), for at most N_SHARDS * SHARD_UNITS units; quotients are listed seat by seat."""
     weight = "CASE source " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in sorted(weights.items())) + f" ELSE {float(others)}::DOUBLE END"
     return f"""
@@ -172,12 +204,14 @@ WITH units AS (
   FROM ended
 ), shards AS (SELECT source, shard, CAST(sum(seats) AS BIGINT) AS has FROM there GROUP BY ALL
 ), sources AS (SELECT source, CAST(sum(has) AS BIGINT) AS has, {weight} AS weight FROM shards GROUP BY source
+), spent AS (
+  SELECT source, weight / (2 * has + 1) AS out, sum(weight) OVER (ORDER BY weight / (2 * has + 1) DESC, source) AS gone, sum(weight) OVER () AS whole FROM sources WHERE weight > 0
+), ending AS (
+  SELECT source AS last_source, out AS last FROM spent WHERE gone > {short}::DOUBLE * whole ORDER BY out DESC, source LIMIT 1
 ), wanted AS (
-  SELECT source, k, has, weight / (2 * k + 1) AS quotient FROM (SELECT source, has, weight, unnest(generate_series(0, has)) AS k FROM sources WHERE weight > 0)
-), ranked AS (
-  SELECT source, k, has, row_number() OVER (ORDER BY quotient DESC, source, k) AS place FROM wanted
+  SELECT source, weight / (2 * k + 1) AS quotient FROM (SELECT source, weight, unnest(generate_series(0, has - 1)) AS k FROM sources WHERE weight > 0)
 ), by_source AS (
-  SELECT source, count(*) AS quota FROM ranked WHERE place < (SELECT min(place) FROM ranked WHERE k = has) GROUP BY ALL
+  SELECT source, count(*) AS quota FROM wanted, ending WHERE quotient > last OR quotient = last AND source < last_source GROUP BY source
 ), votes AS (
   SELECT source, shard, k, quota, CAST(has AS DOUBLE) / (2 * k + 1) AS quotient
   FROM (SELECT source, shard, has, quota, unnest(generate_series(0, has - 1)) AS k FROM shards JOIN by_source USING (source))

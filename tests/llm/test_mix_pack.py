@@ -36,7 +36,23 @@ def docs(spark):
     return spark.createDataFrame(rows, DOCS).repartition(5).cache()
 
 
-def plain_plan(docs, weights, others, n_blocks, n_shards):
+def plain_quotas(weights, has, short):
+    """Seats one at a time; a source without a block left is closed, until the closed ones hold more than ``short`` of all weight."""
+    quota = {s: 0 for s, w in weights.items() if w > 0}
+    open_, gone, whole = set(quota), 0.0, sum(w for w in weights.values() if w > 0)
+    while open_:
+        k = min(open_, key=lambda k: (-weights[k] / (2 * quota[k] + 1), k))
+        if quota[k] < has[k]:
+            quota[k] += 1
+            continue
+        gone += weights[k]
+        if gone > short * whole:
+            break
+        open_.remove(k)
+    return quota
+
+
+def plain_plan(docs, weights, others, n_blocks, n_shards, short):
     """The plan by loops: units, blocks, seats one at a time."""
     rows = docs.collect()
     units = {}
@@ -62,13 +78,7 @@ def plain_plan(docs, weights, others, n_blocks, n_shards):
     has = Counter()
     for (s, h, b), n in seats.items():
         has[s] += n
-    use = {s: (weights or {}).get(s, others) for s in has}
-    quota = dict.fromkeys(use, 0)
-    while any(use.values()):
-        k = min((k for k in use if use[k] > 0), key=lambda k: (-use[k] / (2 * quota[k] + 1), k))
-        if quota[k] == has[k]:
-            break
-        quota[k] += 1
+    quota = plain_quotas({s: (weights or {}).get(s, others) for s in has}, has, short)
     taken = set()
     for s, n in quota.items():
         there = {h: sum(m for (a, c, _), m in seats.items() if (a, c) == (s, h)) for a, h in groups if a == s}
@@ -82,8 +92,9 @@ def plain_plan(docs, weights, others, n_blocks, n_shards):
 
 
 @pytest.mark.parametrize("weights,others", [(None, 1), ({"a": 3, "b": 1.5, "": 0.5}, 0), ({"c": 1}, 0), ({"a": 0.1, "b": 0.1, "c": 0.3}, 0.1), (None, 0)])
-def test_plan_against_loops(spark, docs, weights, others):
-    params = {"n_blocks": 2000, "n_shards": 3}
+@pytest.mark.parametrize("short", [0.0, 0.3])
+def test_plan_against_loops(spark, docs, weights, others, short):
+    params = {"n_blocks": 2000, "n_shards": 3, "short": short}
     plan = mixing.mixing_plan(docs, weights, others, **params).collect()
     want, quota, _, _ = plain_plan(docs, weights, others, **params)
     assert {(r.unit, r.source, r.shard, r.block) for r in plan} == want and len(plan) == len(want)
@@ -104,19 +115,22 @@ def test_targets_are_met(spark, weights):
     assert abs(sum(r.reached for r in shares.values()) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_closed_form_of_quotas(spark, seed):
+@pytest.mark.parametrize("seed,listed", [(0, 100), (1, 100), (2, 100), (3, 3), (4, 3), (5, 1), (6, 1)])
+def test_closed_form_of_quotas(spark, seed, listed, monkeypatch):
+    """Whether sources are listed at once or narrowed down by bins first."""
+    monkeypatch.setattr(mixing, "LISTED", listed)
     rng = np.random.default_rng(seed)
-    rows = [(f"s{i}", float(rng.choice([0.0, 0.1, 0.3, 1, 2, 3, 1 / 3])), int(rng.integers(1, 60))) for i in range(12)]
-    got = {r.source: r.quota for r in mixing.source_quotas(spark.createDataFrame(rows, "source string, weight double, has long")).collect()}
-    quota = {s: 0 for s, w, _ in rows if w > 0}
+    rows = [(f"s{i:02}", float(rng.choice([0.0, 0.25, 0.5, 1, 2, 3])), int(rng.integers(1, 60))) for i in range(25)]
     weight, has = {s: w for s, w, _ in rows}, {s: n for s, _, n in rows}
-    while quota:
-        k = min(quota, key=lambda k: (-weight[k] / (2 * quota[k] + 1), k))
-        if quota[k] == has[k]:
-            break
-        quota[k] += 1
-    assert got == {k: v for k, v in quota.items() if v}
+    for short in (0.0, 0.1, 0.4):
+        got = {r.source: r.quota for r in mixing.source_quotas(spark.createDataFrame(rows, "source string, weight double, has long"), short).collect()}
+        assert got == {k: v for k, v in plain_quotas(weight, has, short).items() if v}
+
+
+def test_tiny_source_does_not_bound_the_rest(spark):
+    rows = [(i, "x" * 400, f"s{i % 20}") for i in range(2000)] + [(9999, "x", None)]
+    plan = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert plan.count() > 1900
 
 
 def test_mix_sources(spark, docs):
