@@ -10,7 +10,9 @@ import ast
 import json
 import re
 import warnings
+from bisect import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 FUNCTION_NODES = (ast.FunctionDef, ast.AsyncFunctionDef)
 KINDS = {
@@ -34,12 +36,83 @@ def analysis_ddl() -> str:
     return f"file string, content_hash string, docstring string, {kinds}, errors array<string>"
 
 
+_STRING_OR_COMMENT = re.compile(r"#[^\n]*|\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|\'\'\'(?:[^\\]|\\.)*?(?:\'\'\'|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|\'(?:[^\'\\\n]|\\.)*\'?", re.S)
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
+
+
+def lines_of(text: str) -> list[str]:
+    """As the syntax tree counts lines."""
+    return re.split(r"\r\n|\r|\n", text)
+
+
+def _parsed(text: str) -> ast.Module:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return ast.parse(text)
+
+
+def tolerant(text: str) -> tuple[ast.Module, list[str]]:
+    """The syntax tree, and the first error of a text that has any: what can be read of it is in the tree all the same, at its own lines.
+
+    A text with an error is read statement by statement; a statement that is broken is left out, but of a broken class, function or block the header stays, if
+    that can be read, with those of its statements that can. Each level of nesting is read once more, so the work is bounded by length times depth.
+    """
+    try:
+        return _parsed(text), []
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        first = f"Syntax error: {e}"
+    lines = lines_of(text)
+    held = [False] * (len(lines) + 1)  # lines that begin inside a string
+    ends = list(accumulate(len(line) + 1 for line in lines))
+    for m in _STRING_OR_COMMENT.finditer("\n".join(lines)):
+        for k in range(bisect(ends, m.start()) + 1, bisect(ends, m.end() - 1) + 1):
+            held[k] = True
+    return ast.Module(_recovered(lines, held, 0), []), [first]
+
+
+def _recovered(lines: list[str], held: list[bool], base: int, depth: int = 0) -> list[ast.stmt]:
+    """The statements of ``lines``, whose own level begins at the left edge; ``base`` lines of the file are before them."""
+    starts = [i for i, line in enumerate(lines) if line.strip() and not held[base + i] and not line[0].isspace() and line[0] != "#" and not _GOES_ON.match(line)]
+    starts = [i for k, i in enumerate(starts) if not k or not lines[starts[k - 1]].startswith("@")]  # decorators belong to what follows
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(lines)]):
+        try:
+            part = _parsed("\n".join(lines[a:b])).body
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            part = _headed(lines[a:b], held, base + a, depth)
+        else:
+            for n in part:
+                ast.increment_lineno(n, base + a)
+        out += part
+    return out
+
+
+def _headed(lines: list[str], held: list[bool], base: int, depth: int) -> list[ast.stmt]:
+    """A broken compound statement as its header and what can be read of its body; nothing if it has no header that can be read."""
+    for k, line in enumerate(lines[:20]):
+        if not line.split("#")[0].rstrip().endswith(":"):
+            continue
+        try:
+            (node,) = _parsed("\n".join([*lines[: k + 1], "    pass"])).body
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            continue
+        inner = lines[k + 1 :]
+        indents = [len(x) - len(x.lstrip()) for i, x in enumerate(inner) if x.strip() and not held[base + k + 1 + i] and x[0].isspace()]
+        if not indents or depth > 50 or not hasattr(node, "body"):
+            return []
+        cut = min(indents)
+        ast.increment_lineno(node, base)
+        body = _recovered([x[cut:] if not x[:cut].strip() else "" for x in inner], held, base + k + 1, depth + 1)
+        node.body = body or node.body
+        node.end_lineno = base + max(i for i, x in enumerate(lines) if x.strip()) + 1
+        return [node]
+    return []
+
+
 class _File:
     def __init__(self, text: str, compat: bool):
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            self.tree = ast.parse(text)
-        self.lines = re.split(r"\r\n|\r|\n", text)  # as the syntax tree counts lines
+        self.tree, self.errors = tolerant(text)
+        self.lines = lines_of(text)
         self.compat = compat
         self.nodes = list(preorder(self.tree))
         self.functions = [n for n in self.nodes if isinstance(n, FUNCTION_NODES)]
@@ -292,16 +365,13 @@ EXTRACTORS = {
 
 
 def analyse_text(text: str, compat: bool = False, source_lines: int | None = None) -> dict:
-    """The records of one file. A syntax error leaves an entry in ``errors`` and no record; a failing extractor costs its own kind alone.
+    """The records of one file. A syntax error leaves an entry in ``errors`` and costs the statements that cannot be read; a failing extractor its own kind alone.
 
     ``source_lines`` keeps so many lines of each definition's source (None: all, 0: none).
     """
     out: dict = {kind: [] for kind in EXTRACTORS} | {"docstring": None, "errors": []}
-    try:
-        f = _File(text, compat)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        out["errors"].append(f"Syntax error: {e}")
-        return out
+    f = _File(text, compat)
+    out["errors"] += f.errors
     out["docstring"] = ast.get_docstring(f.tree)
     for kind, extract in EXTRACTORS.items():
         try:

@@ -131,6 +131,74 @@ def test_bad_files_keep_their_row():
     assert analyse_text("x = '\0'")["errors"]
 
 
+BROKEN = textwrap.dedent('''\
+    """Doc."""
+    import os
+
+    print "hello"
+
+    def good(x):
+        return helper(x)
+
+    @decorated(1)
+    class C(Base):
+        kind = 1
+
+        def works(self):
+            self.n = 1
+            return good(self.n)
+
+        def fails(self):
+            y = good(2)
+            return y +
+        text = """
+    def not_code(): pass
+        """
+
+        def later(self): return good(3)
+
+    exec "x" in y
+    def bad(:
+        z = 1
+
+    async def last():
+        return good(
+            4
+        )
+    ''')
+
+
+def test_broken_files_keep_what_can_be_read():
+    got = analyse_text(BROKEN)
+    assert len(got["errors"]) == 1 and got["errors"][0].startswith("Syntax error")
+    lines = BROKEN.split("\n")
+    assert [r["name"] for r in got["functions"]] == ["good", "works", "fails", "later", "last"]
+    for r in got["functions"]:
+        assert f"def {r['name']}(" in lines[r["start_line"] - 1] and r["source_code"].startswith(lines[r["start_line"] - 1])
+    assert [(c["name"], c["bases"], c["methods"]) for c in got["classes"]] == [("C", ["Base"], ["works", "fails", "later"])]
+    assert [(c["caller_function"], c["called_name"], c["call_line"]) for c in got["calls"]] == [("good", "helper", 7), ("works", "good", 15), ("fails", "good", 18), ("later", "good", 24), ("last", "good", 31)]
+    assert got["docstring"] == "Doc." and [i["module"] for i in got["imports"]] == ["os"] and [d["name"] for d in got["decorators"]] == ["decorated"]
+    assert analyse_text("x = (\n" * 3000)["functions"] == [] and analyse_text("if x:\n" * 500 + "def f(:")["functions"] == []
+    deep = "".join(" " * i + "if x:\n" for i in range(90)) + " " * 90 + "y = = 1\n"
+    assert analyse_text(deep)["errors"]
+
+
+@pytest.mark.parametrize("cut", range(0, 30, 3))
+def test_a_broken_line_costs_its_statement_alone(cut):
+    """A line of nonsense between two top-level statements takes nothing else away."""
+    whole = analyse_text(SHAPES)
+    tops = [i for i, line in enumerate(SHAPES.split("\n")) if line and not line[0].isspace() and not line.startswith("@")]
+    at = tops[cut // 3 % len(tops)]
+    lines = SHAPES.split("\n")
+    if lines[at - 1].startswith("@"):
+        at -= 1
+    broken = analyse_text("\n".join([*lines[:at], "this is = no code (", ")", *lines[at:]]))
+    assert broken["errors"]
+    for kind in ("functions", "classes", "calls", "variables", "imports", "exceptions"):
+        strip = lambda r: {k: v for k, v in r.items() if "line" not in k and k != "source_code"}
+        assert [strip(r) for r in broken[kind]] == [strip(r) for r in whole[kind]], kind
+
+
 PROJECT = {
     "src/app/__init__.py": '"""The package."""\n',
     "src/app/utils.py": "def helper():\n    return 1\n\n\ndef again():\n    return helper()\n",
