@@ -118,3 +118,24 @@ def parent_directory(path: str | Column) -> Column:
 def node_label(file: str | Column, function: str | Column) -> Column:
     """A diagram node's id: ``stem_function`` with every other sign as an underscore."""
     return F.regexp_replace(F.concat_ws("_", stem(file), as_column(function)), "[^0-9A-Za-z_]", "_")
+
+
+def thousands(x: str | Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(as_column(x).cast("long"), 0)
+
+
+def seconds(x: str | Column) -> Column:
+    """Seconds with three decimals and their unit."""
+    return F.concat(F.format_string("%.3f", as_column(x).cast("double")), F.lit("s"))
+
+
+def rate(n: str | Column, took: str | Column, unit: str = "rows") -> Column:
+    """``n`` per second, as whole units; "n/a" where no time passed."""
+    t = as_column(took)
+    return F.when(t > 0, F.concat(thousands(F.round(as_column(n) / t)), F.lit(f" {unit}/s"))).otherwise(F.lit("n/a"))
+
+
+def stamped(df, name: str = "loaded_at"):
+    """The rows with the time of the query, the same for all of them."""
+    return df.withColumn(name, F.current_timestamp())

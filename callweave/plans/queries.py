@@ -13,6 +13,7 @@ from callweave.operators import cookbook as K
 from callweave.operators import points as P
 from callweave.operators import resolve as R
 from callweave.operators import traverse as V
+from callweave.plans import source_queries
 from callweave.plans.derived import derived_graph, sql
 from callweave.plans.sources_from_parts import SQL as PLACED
 from callweave.plans.sources_from_parts import part_sources
@@ -260,3 +261,5 @@ _TABLES = (
 )
 for _f, _q in _TABLES:
     add_table(_f.__name__, _f, _q)
+QUERIES |= source_queries.QUERIES
+ORACLES |= source_queries.ORACLES

@@ -71,33 +71,33 @@ def _id(prefix: str, *parts: str) -> str:
     return f"'{prefix}_' || substr(sha256(concat_ws('::', {', '.join(parts)})), 1, 12)"
 
 
-#: The same modules in DuckDB: where each supplier's lines begin (``at`` lines are before them), and the graph's node tables with their keys.
+#: The same modules in DuckDB: where each supplier's lines begin (``base`` lines are before them), and the graph's node tables with their keys.
 SQL = f"""
 sup AS (
   SELECT s_suppkey AS k, s_suppkey // 2 AS p, replace(r_name, ' ', '_') AS region, n_name AS nation, replace(r_name, ' ', '_') || '/' || n_name || '.py' AS file
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ), blocks AS (
-  SELECT *, CAST({HEAD_LINES} + {BLOCK_LINES} * (row_number() OVER (PARTITION BY file ORDER BY k) - 1) AS BIGINT) AS at FROM sup
+  SELECT *, CAST({HEAD_LINES} + {BLOCK_LINES} * (row_number() OVER (PARTITION BY file ORDER BY k) - 1) AS BIGINT) AS base FROM sup
 ), heads AS (
   SELECT h.file, h.p, t.region || '.' || t.nation AS module, t.file AS target FROM (SELECT file, min(k) // 2 AS p FROM sup GROUP BY file) h JOIN sup t ON t.k = h.p
 ), fns AS (
   SELECT *, {_id("fn", "file", "name", "start_line")} AS id FROM (
-    SELECT file, k, '__init__' AS name, at + 4 AS start_line, at + 6 AS end_line, 'C' || k AS parent_class, false AS is_public FROM blocks
-    UNION ALL SELECT file, k, 'area', at + 8, at + 9, 'C' || k, true FROM blocks
-    UNION ALL SELECT file, k, '_grow', at + 10, at + 14, 'C' || k, false FROM blocks
-    UNION ALL SELECT file, k, 'make_' || k, at + 15, at + 17, NULL, true FROM blocks)
+    SELECT file, k, '__init__' AS name, base + 4 AS start_line, base + 6 AS end_line, 'C' || k AS parent_class, false AS is_public FROM blocks
+    UNION ALL SELECT file, k, 'area', base + 8, base + 9, 'C' || k, true FROM blocks
+    UNION ALL SELECT file, k, '_grow', base + 10, base + 14, 'C' || k, false FROM blocks
+    UNION ALL SELECT file, k, 'make_' || k, base + 15, base + 17, NULL, true FROM blocks)
 ), first_fn AS (SELECT file, name, arg_min(id, start_line) AS id FROM fns GROUP BY ALL
-), cls AS (SELECT file, k, p, 'C' || k AS name, at + 2 AS start_line, at + 14 AS end_line, {_id("cls", "file", "'C' || k", "at + 2")} AS id FROM blocks
+), cls AS (SELECT file, k, p, 'C' || k AS name, base + 2 AS start_line, base + 14 AS end_line, {_id("cls", "file", "'C' || k", "base + 2")} AS id FROM blocks
 ), vars AS (
   SELECT *, {_id("var", "file", "name", "line", "scope")} AS id FROM (
     SELECT file, 'LIMIT' AS name, CAST(5 AS BIGINT) AS line, 'module' AS scope FROM heads
-    UNION ALL SELECT file, 'kind', at + 3, 'module' FROM blocks
-    UNION ALL SELECT file, 'self', at + 5, 'function:__init__' FROM blocks UNION ALL SELECT file, 'self', at + 6, 'function:__init__' FROM blocks
-    UNION ALL SELECT file, 'self', at + 12, 'function:_grow' FROM blocks UNION ALL SELECT file, 'y', at + 16, 'function:make_' || k FROM blocks)
+    UNION ALL SELECT file, 'kind', base + 3, 'module' FROM blocks
+    UNION ALL SELECT file, 'self', base + 5, 'function:__init__' FROM blocks UNION ALL SELECT file, 'self', base + 6, 'function:__init__' FROM blocks
+    UNION ALL SELECT file, 'self', base + 12, 'function:_grow' FROM blocks UNION ALL SELECT file, 'y', base + 16, 'function:make_' || k FROM blocks)
 ), uses AS (
   SELECT file, unnest(['self', 'size', 'self', 'int', 'size', 'LIMIT', 'property', 'make_' || p, 'self', 'self', 'n', 'ValueError', 'KeyError', 'KeyError', 'n', 'errors', 'n', 'C' || k, 'x', 'y']) AS variable_name,
     unnest(['__init__', '__init__', '__init__', '__init__', '__init__', '__init__', 'area', 'area', 'area', '_grow', '_grow', '_grow', '_grow', '_grow', '_grow', '_grow', '_grow', 'make_' || k, 'make_' || k, 'make_' || k]) AS function_name,
-    at + unnest([5, 5, 6, 6, 6, 6, 7, 9, 9, 12, 12, 13, 13, 13, 13, 14, 14, 16, 16, 17]) AS usage_line
+    base + unnest([5, 5, 6, 6, 6, 6, 7, 9, 9, 12, 12, 13, 13, 13, 13, 14, 14, 16, 16, 17]) AS usage_line
   FROM blocks
 ), imps AS (
   SELECT *, {_id("imp", "file", "imported_name", "line_number")} AS id FROM (
@@ -107,18 +107,18 @@ sup AS (
     UNION ALL SELECT file, 'helpers', 'unknown', NULL, 4, true, NULL FROM heads)
 ), decs AS (
   SELECT *, {_id("dec", "file", "name", "line_number")} AS id FROM (
-    SELECT file, 'register' AS name, at + 1 AS line_number, '{{"arg_0": "s' || k || '", "weight": ' || k || ', "tags": ["a", 1], "raw": "b''x''", "z": "2j"}}' AS arguments, 'C' || k AS target_name, 'class' AS target_type, at + 2 AS target_line FROM blocks
-    UNION ALL SELECT file, 'property', at + 7, '{{}}', 'area', 'function', at + 8 FROM blocks)
+    SELECT file, 'register' AS name, base + 1 AS line_number, '{{"arg_0": "s' || k || '", "weight": ' || k || ', "tags": ["a", 1], "raw": "b''x''", "z": "2j"}}' AS arguments, 'C' || k AS target_name, 'class' AS target_type, base + 2 AS target_line FROM blocks
+    UNION ALL SELECT file, 'property', base + 7, '{{}}', 'area', 'function', base + 8 FROM blocks)
 ), attrs AS (
   SELECT *, {_id("attr", "file", "class_name", "name", "definition_line")} AS id FROM (
-    SELECT file, 'kind' AS name, 'C' || k AS class_name, at + 3 AS definition_line, 'str' AS type_hint, true AS is_class_attribute FROM blocks
-    UNION ALL SELECT file, 'size', 'C' || k, at + 5, NULL, false FROM blocks UNION ALL SELECT file, 'total', 'C' || k, at + 6, 'int', false FROM blocks)
+    SELECT file, 'kind' AS name, 'C' || k AS class_name, base + 3 AS definition_line, 'str' AS type_hint, true AS is_class_attribute FROM blocks
+    UNION ALL SELECT file, 'size', 'C' || k, base + 5, NULL, false FROM blocks UNION ALL SELECT file, 'total', 'C' || k, base + 6, 'int', false FROM blocks)
 ), touched AS (
-  SELECT file, 'C' || k AS class_name, unnest(['size', 'total', 'size', 'size']) AS name, unnest(['__init__', '__init__', 'area', '_grow']) AS function_name, at + unnest([4, 4, 8, 10]) AS function_line,
-    at + unnest([5, 6, 9, 12]) AS line_number, unnest(['write', 'write', 'read', 'read_write']) AS access_type FROM blocks
+  SELECT file, 'C' || k AS class_name, unnest(['size', 'total', 'size', 'size']) AS name, unnest(['__init__', '__init__', 'area', '_grow']) AS function_name, base + unnest([4, 4, 8, 10]) AS function_line,
+    base + unnest([5, 6, 9, 12]) AS line_number, unnest(['write', 'write', 'read', 'read_write']) AS access_type FROM blocks
 ), excs AS (
   SELECT *, {_id("exc", "file", "name", "line_number", "context", "'_grow'")} AS id FROM (
-    SELECT file, unnest(['ValueError', 'KeyError', 'KeyError', 'errors.Bad']) AS name, at + unnest([13, 13, 13, 14]) AS line_number, unnest(['catch', 'catch', 'raise', 'raise']) AS context, unnest([1, 2, 3, 4]) AS ord FROM blocks)
+    SELECT file, unnest(['ValueError', 'KeyError', 'KeyError', 'errors.Bad']) AS name, base + unnest([13, 13, 13, 14]) AS line_number, unnest(['catch', 'catch', 'raise', 'raise']) AS context, unnest([1, 2, 3, 4]) AS ord FROM blocks)
 ), mods AS (
   SELECT *, {_id("mod", "name")} AS id FROM (
     SELECT replace(r_name, ' ', '_') AS name, replace(r_name, ' ', '_') || '/__init__.py' AS path, true AS is_package, replace(r_name, ' ', '_') || '.' AS docstring FROM region

@@ -48,11 +48,14 @@ def _underscored(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return names.mapInArrow(read, "path string, content binary, ms long").select("path", "content", F.timestamp_millis("ms").alias("modificationTime"))
 
 
-def _bytes_of(path: str) -> bytes:
+def _filesystem(path: str) -> tuple[pa_fs.FileSystem, str]:
     if path.startswith("file:"):
-        with open("/" + path[len("file:") :].lstrip("/"), "rb") as f:
-            return f.read()
-    fs, inner = pa_fs.FileSystem.from_uri(path)
+        return pa_fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return pa_fs.FileSystem.from_uri(path)
+
+
+def _bytes_of(path: str) -> bytes:
+    fs, inner = _filesystem(path)
     with fs.open_input_stream(inner) as f:
         return f.read()
 
@@ -67,6 +70,24 @@ def scan_sources(spark: SparkSession, root: str, patterns: tuple[str, ...] = DEF
     return rows.select(relative_path("path", base).alias("file"), "content", F.col("modificationTime").alias("modified"))
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes (file, content) rows as files below ``root``, each in the task that holds it. The folder must be one that all executors share."""
+    spark = importable(files.sparkSession)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+    def put(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, at = _filesystem(f"{base}/{name}")
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    files.select("file", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
 def from_texts(df: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """The same shape from a table of texts."""
     return df.select(F.col(file).alias("file"), F.col(text).cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("modified"))

@@ -171,11 +171,19 @@ def tagged_counts(graph: CodeGraph, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a written table, None where it is missing."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else None
+
+
 def export_summary(graph: CodeGraph, folder: str | None = None) -> DataFrame:
-    """(table, kind, n): what an export holds."""
+    """(table, kind, n, status, bytes): what an export holds; bytes are those of the tables written to ``folder``, null without one."""
     counts = tagged_counts(graph, list(TABLES))
     kind = F.when(F.col("table").isin(list(NODES)), "node").otherwise("edge")
-    return counts.select("table", kind.alias("kind"), "n", F.when(F.col("n") > 0, "exported").otherwise("empty").alias("status"))
+    sizes = [(name, folder_bytes(graph.spark, table_path(folder, name)) if folder else None) for name in TABLES]
+    rows = counts.join(F.broadcast(graph.spark.createDataFrame(sizes, "table string, bytes long")), "table")  # one row per table
+    return rows.select("table", kind.alias("kind"), "n", F.when(F.col("n") > 0, "exported").otherwise("empty").alias("status"), "bytes")
 
 
 def export_edges(graph: CodeGraph, name: str) -> DataFrame:
