@@ -122,6 +122,8 @@ class Model:
                     break
                 anchors.add(i)
                 left -= vector[i] ** 2
+        self.squares = np.stack(self.vectors) ** 2
+        self.least = (np.array(self.thresholds) - 1e-9) ** 2
         self.anchors = np.zeros(len(vocabulary) + 1, dtype=bool)
         self.anchors[list(anchors)] = True
 
@@ -140,14 +142,16 @@ class Model:
         """Licence of the best window, its cosine, and the number of words in matching windows. Ties go to the earlier template, then the earlier window."""
         best, name, score = 0.0, None, None
         covered = np.zeros(len(words) + 1, dtype=np.int64)
-        for t, (size, threshold, vector) in enumerate(zip(self.words, self.thresholds, self.vectors)):
+        # What a whole text does not reach, no window of it does.
+        for t in np.flatnonzero(self.squares @ np.bincount(words, minlength=self.other + 1) >= self.least).tolist():
+            size, threshold = self.words[t], self.thresholds[t]
             n = min(size, len(words))
             last = len(words) - n
             starts = np.arange(0, last + 1, max(1, size // 8))
             if starts[-1] != last:
                 starts = np.append(starts, last)
-            sums = np.concatenate(([0.0], np.cumsum(vector[words] ** 2)))
-            for start in starts[sums[starts + n] - sums[starts] >= (threshold - 1e-9) ** 2].tolist():
+            sums = np.concatenate(([0.0], np.cumsum(self.squares[t][words])))
+            for start in starts[sums[starts + n] - sums[starts] >= self.least[t]].tolist():
                 cosine = self.cosine(words[start : start + n], t)
                 if cosine >= threshold:
                     covered[start] += 1
