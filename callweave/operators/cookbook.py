@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from callweave.functions.columns import percentage
 from callweave.operators.match import hop, nodes, optional_hop, sorted_list, sorted_set, then_hop, top, without
-from callweave.operators.points import edge_types
-from callweave.operators.traverse import cycles, min_depth, reach
+from callweave.operators.points import edge_type_counts
+from callweave.operators.traverse import call_components, cycles, min_depth, reach
 from callweave.sources.schemas import EDGES, NODES
 from callweave.sources.store import CodeGraph, tagged_counts
 
@@ -207,11 +207,13 @@ def classes_per_file(g: CodeGraph) -> DataFrame:
 
 
 def largest_classes(g: CodeGraph, n: int = 20) -> DataFrame:
-    """The winners by count first; their lists of methods are then gathered for them alone."""
-    counts = hop(g, "method_of").groupBy(*_cols("b", "name file")).agg(F.count("*").alias("method_count"))
-    best = top(counts, n, F.col("method_count").desc(), "name", "file")
-    rows = hop(g, "method_of").join(F.broadcast(best), (F.col("b_name") == best["name"]) & (F.col("b_file") == best["file"]))
-    lists = rows.groupBy("name", "file", "method_count").agg(sorted_list("a_name").alias("methods"))
+    """Methods are counted by class key, before any name is read; lists of methods are gathered for the winners alone."""
+    by_key = g["method_of"].join(g["functions"].select("id"), F.col("src") == F.col("id"), "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    named = by_key.join(g["classes"].select("id", "name", "file"), "id")
+    best = top(named.groupBy("name", "file").agg(F.sum("n").alias("method_count")), n, F.col("method_count").desc(), "name", "file")
+    keys = g["classes"].select(F.col("id").alias("dst"), "name", "file").join(F.broadcast(best), ["name", "file"])  # n names
+    methods = g["method_of"].join(F.broadcast(keys), "dst").join(g["functions"].select(F.col("id").alias("src"), F.col("name").alias("method")), "src")
+    lists = methods.groupBy("name", "file", "method_count").agg(sorted_list("method").alias("methods"))
     return lists.orderBy(F.col("method_count").desc(), "name", "file")
 
 
@@ -286,10 +288,8 @@ def edge_counts(g: CodeGraph) -> DataFrame:
 
 
 def edge_type_shares(g: CodeGraph) -> DataFrame:
-    rows = edge_types(g).groupBy("type", "src_label", "dst_label").agg(F.count("*").alias("n"))
-    whole = rows.agg(F.sum("n").alias("total"))
-    shares = rows.crossJoin(F.broadcast(whole)).select("type", F.concat_ws(" -> ", "src_label", "dst_label").alias("direction"), "n", percentage("n", "total", 2).alias("percent"))
-    return shares.orderBy(F.col("n").desc(), "type", "direction")
+    rows = edge_type_counts(g).select("type", F.concat_ws(" -> ", "src_label", "dst_label").alias("direction"), "n", percentage("n", "total", 2).alias("percent"))
+    return rows.orderBy(F.col("n").desc(), "type", "direction")
 
 
 def populated_labels(g: CodeGraph) -> DataFrame:
@@ -306,9 +306,15 @@ def high_fan_in(g: CodeGraph, n: int = 20) -> DataFrame:
 
 
 def call_cycles(g: CodeGraph, max_length: int = 3) -> DataFrame:
+    """The cycles of at most ``max_length`` calls, each as a path. functions_on_cycles() has no bound."""
     return cycles(g, max_length)
 
 
+def functions_on_cycles(g: CodeGraph) -> DataFrame:
+    """Every function on a cycle of calls of any length, with its component."""
+    return g["functions"].select("id", "name", "file").join(call_components(g), "id").orderBy("component", "id")
+
+
 def orphans(g: CodeGraph) -> DataFrame:
     """Functions that neither call nor are called."""
     rows = without(without(g["functions"], g, "calls", "id", "dst"), g, "calls", "id", "src")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.columns import null_if_empty, percentage
 from callweave.operators.match import hop, sorted_list, top
 from callweave.sources.schemas import EDGES, NODES
-from callweave.sources.store import CodeGraph, tagged_counts
+from callweave.sources.store import CodeGraph, counted
 
 
 def callers(graph: CodeGraph, file: str, function: str) -> DataFrame:
@@ -107,20 +105,21 @@ def most_called(graph: CodeGraph, n: int = 20) -> DataFrame:
 
 
 def statistics(graph: CodeGraph) -> DataFrame:
-    """(table, n, percent): rows of each table, and nodes' and edges' totals; percent is the share of all nodes, or of all edges."""
-    def part(names: list[str], total: str) -> DataFrame:
-        counts = tagged_counts(graph, names)
-        whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-        rows = counts.crossJoin(F.broadcast(whole)).select("table", "n", percentage("n", "total").alias("percent"))
-        return rows.unionByName(whole.select(F.lit(total).alias("table"), F.col("total").alias("n"), percentage("total", "total").alias("percent")))
-
-    return part(list(NODES), "total_nodes").unionByName(part(list(EDGES), "total_edges"))
-
-
-def edge_types(graph: CodeGraph) -> DataFrame:
-    """All edges as (type, src_label, dst_label)."""
-    parts = [
-        graph[t.name].select(F.lit(t.label).alias("type"), F.lit(NODES[t.src].label).alias("src_label"), F.lit(NODES[t.dst].label).alias("dst_label"))
-        for t in EDGES.values()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(table, n, percent): rows of each table, and nodes' and edges' totals; percent is the share of all nodes, or of all edges. Every table is read once."""
+    found, rows = counted(graph, [*NODES, *EDGES]), []
+    for names, total in ((NODES, "total_nodes"), (EDGES, "total_edges")):
+        whole = sum(found[n] for n in names)
+        rows += [(n, found[n], whole) for n in names] + [(total, whole, whole)]
+    table = graph.spark.createDataFrame(rows, "table string, n long, total long")
+    return table.select("table", "n", percentage("n", "total").alias("percent"))
+
+
+def edge_type_counts(graph: CodeGraph) -> DataFrame:
+    """(type, src_label, dst_label, n, total) of all edge types that have edges. Every table is counted once; labels that two tables share are added up."""
+    found: dict[tuple[str, str, str], int] = {}
+    for name, n in counted(graph, list(EDGES)).items():
+        t = EDGES[name]
+        key = (t.label, NODES[t.src].label, NODES[t.dst].label)
+        found[key] = found.get(key, 0) + n
+    whole = sum(found.values())
+    return graph.spark.createDataFrame([(*k, n, whole) for k, n in found.items() if n], "type string, src_label string, dst_label string, n long, total long")

@@ -1,53 +1,90 @@
 """Bounded traversal of the call graph, one join a level.
 
-A level's frontier is joined with the edges; new nodes are those not seen before. Every level is checkpointed, so plans stay short and a
-lost executor costs one level at most. The frontier is broadcast only when it is known to be small; a large one takes a shuffle join.
+A level joins its frontier with the edges; new nodes are those not seen before. As long as a frontier and what was seen are short lists, of at most
+LISTED nodes, they are kept on the driver: a level is then one job, which scans the edges beside a broadcast list and shuffles only what it finds. A longer
+frontier stays distributed: every level is checkpointed, so that plans stay short and a lost executor costs one level at most.
+
+Edges are read once a level. Those of a written graph are scanned where they lie; others, which may be the result of joins, are checkpointed first, as narrow rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from callweave.operators.match import hop
 from callweave.session import checkpointed
 from callweave.sources.store import CodeGraph
 
-#: Frontiers of at most so many rows (two short strings each) are broadcast.
-BROADCAST_ROWS = 50_000
+LISTED = 10_000
 DIRECTIONS = "upstream downstream both".split()
 
 
-def levels(pairs: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth): shortest distance from ``start`` (a column ``node``) along ``pairs`` (``u`` to ``v``), up to ``max_depth``.
+def _list(df: DataFrame, at_most: int) -> list[tuple] | None:
+    """The rows, or None if there are more than ``at_most``."""
+    got = df.limit(at_most + 1).toArrow()
+    return None if got.num_rows > at_most else list(zip(*(c.to_pylist() for c in got.columns)))
+
 
-    Null nodes are ignored; self-loops and repeated pairs do not matter. The start has depth 0.
+def levels(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_depth: int, listed: int = LISTED) -> DataFrame:
+    """(node columns, depth): shortest distance from the rows of ``start``, up to ``max_depth``, along ``step``.
+
+    ``step`` takes a frontier, a table of distinct nodes, to the nodes one step away, in the same columns. Nodes with a null are ignored; repeated ones do not matter. The
+    start has depth 0. ``listed`` does not change the result.
     """
-    seen = checkpointed(start.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, n = seen, seen.count()
-    steps = pairs.where("u is not null and v is not null").select("u", "v")
-    for depth in range(1, max_depth + 1):
-        if not n:
+    spark, keys = start.sparkSession, start.columns
+    kinds = to_arrow_schema(start.schema)
+
+    def clean(df: DataFrame) -> DataFrame:
+        return df.select(*keys).na.drop().distinct()
+
+    def table(rows: list[tuple], depth: int | None = None) -> DataFrame:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(keys), kinds)]
+        df = spark.createDataFrame(pa.table(columns, names=keys))
+        return df if depth is None else df.withColumn("depth", F.lit(depth))
+
+    first = clean(start)
+    rows, depth = _list(first, listed), 0
+    seen: dict[tuple, int] = dict.fromkeys(rows or (), 0)
+    frontier = None if rows is not None else checkpointed(first)
+    parts = [] if rows is not None else [frontier.withColumn("depth", F.lit(0))]
+    while rows and depth < max_depth:
+        depth += 1
+        found = clean(step(F.broadcast(table(rows))))
+        got = _list(found, listed)
+        new = None if got is None else [r for r in got if r not in seen]
+        if new is None or len(seen) + len(new) > listed:
+            frontier = checkpointed(found.join(F.broadcast(table(list(seen))), keys, "left_anti"))
+            parts.append(frontier.withColumn("depth", F.lit(depth)))
+            break
+        seen |= dict.fromkeys(new, depth)
+        rows = new
+    if seen or not parts:
+        by_depth = [pa.array(c, f.type) for c, f in zip(zip(*seen) if seen else [()] * len(keys), kinds)]
+        parts.insert(0, spark.createDataFrame(pa.table([*by_depth, pa.array(list(seen.values()), pa.int32())], names=[*keys, "depth"])))
+    while frontier is not None and depth < max_depth:
+        depth += 1
+        known = parts[0].select(*keys)
+        for p in parts[1:]:
+            known = known.union(p.select(*keys))
+        frontier = checkpointed(clean(step(frontier)).join(known, keys, "left_anti"))
+        if frontier.isEmpty():
             break
-        near = frontier.select(F.col("node").alias("u"))
-        found = steps.join(F.broadcast(near) if n <= BROADCAST_ROWS else near, "u").select(F.col("v").alias("node")).distinct()
-        frontier = checkpointed(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        n = frontier.count()
-        if n:
-            seen = seen.unionByName(frontier)
-    return seen
-
-
-def named_calls(graph: CodeGraph) -> DataFrame:
-    """Every call with both functions' files and names, and structs of them as traversal nodes."""
-    rows = hop(graph, "calls").select(
-        F.col("a_file").alias("caller_file"),
-        F.col("a_name").alias("caller"),
-        F.col("b_file").alias("callee_file"),
-        F.col("b_name").alias("callee"),
-        F.col("r_call_line").alias("call_line"),
-    )
-    return rows.withColumns({"u": F.struct(F.col("caller_file").alias("file"), F.col("caller").alias("name")), "v": F.struct(F.col("callee_file").alias("file"), F.col("callee").alias("name"))})
+        parts.append(frontier.withColumn("depth", F.lit(depth)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _tables(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
+    """Calls (src, dst, call_line) and functions (id, file, name), to be read once a level."""
+    calls, functions = graph["calls"].select("src", "dst", "call_line"), graph["functions"].select("id", "file", "name")
+    return (calls, functions) if graph.stored else (checkpointed(calls), checkpointed(functions))
 
 
 def impact(graph: CodeGraph, file, function, direction="upstream", max_depth=5) -> DataFrame:
@@ -58,17 +95,24 @@ def impact(graph: CodeGraph, file, function, direction="upstream", max_depth=5)
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"no such direction: {direction!r}; there are {', '.join(DIRECTIONS)}")
-    if direction == "both":
-        ups = impact(graph, file, function, "upstream", max_depth)
-        return ups.unionByName(impact(graph, file, function, "downstream", max_depth))
-    calls = named_calls(graph)
-    near, far, kind = ("v", "u", "caller") if direction == "upstream" else ("u", "v", "callee")
-    start = graph.spark.range(1).select(F.struct(F.lit(file).alias("file"), F.lit(function).alias("name")).alias("node"))
-    reached = levels(calls.select(F.col(near).alias("u"), F.col(far).alias("v")), start, max_depth - 1) if max_depth > 0 else start.withColumn("depth", F.lit(0)).limit(0)
-    rows = calls.join(reached, calls[near] == reached["node"])
-    return rows.select(
-        F.col(f"{far}.file").alias("file"), F.col(f"{far}.name").alias("function"), F.col("call_line").alias("line"), F.lit(kind).alias("type"), (F.col("depth") + 1).alias("depth")
-    )
+    tables = _tables(graph)
+    ways = ("upstream", "downstream") if direction == "both" else (direction,)
+    found = [_impact(graph, *tables, file, function, way, max_depth) for way in ways]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _impact(graph: CodeGraph, calls: DataFrame, functions: DataFrame, file: str, function: str, direction: str, max_depth: int) -> DataFrame:
+    near, far, kind = ("dst", "src", "caller") if direction == "upstream" else ("src", "dst", "callee")
+    ends = functions.withColumnsRenamed({"id": far})
+
+    def calls_at(nodes: DataFrame) -> DataFrame:
+        """The calls at nodes (file, name), with the nodes' further columns."""
+        return calls.join(functions.join(nodes, ["file", "name"]).drop("file", "name").withColumnRenamed("id", near), near)
+
+    start = graph.spark.createDataFrame([(file, function)], "file string, name string")
+    reached = levels(lambda nodes: calls_at(nodes).select(far).distinct().join(ends, far), start, max_depth - 1) if max_depth > 0 else start.withColumn("depth", F.lit(0)).limit(0)
+    rows = calls_at(reached).join(ends, far)
+    return rows.select("file", F.col("name").alias("function"), F.col("call_line").alias("line"), F.lit(kind).alias("type"), (F.col("depth") + 1).alias("depth"))
 
 
 def impact_table(rows: DataFrame) -> DataFrame:
@@ -81,28 +125,26 @@ def neighbourhood(graph: CodeGraph, file: str, function: str, direction: str, ma
     return impact(graph, file, function, direction, max_depth).select("file", "function", "line").distinct()
 
 
-def _steps(graph: CodeGraph, upstream: bool) -> DataFrame:
-    u, v = ("dst", "src") if upstream else ("src", "dst")
-    return graph["calls"].select(F.col(u).alias("u"), F.col(v).alias("v"))
+def _start(graph: CodeGraph, file: str, function: str) -> DataFrame:
+    return graph["functions"].where((F.col("file") == file) & (F.col("name") == function)).select("id")
 
 
-def _start(graph: CodeGraph, file: str, function: str) -> DataFrame:
-    return graph["functions"].where((F.col("file") == file) & (F.col("name") == function)).select(F.col("id").alias("node"))
+def _step(calls: DataFrame, upstream: bool) -> Callable[[DataFrame], DataFrame]:
+    near, far = ("dst", "src") if upstream else ("src", "dst")
+    return lambda nodes: calls.join(nodes.withColumnRenamed("id", near), near, "left_semi").select(F.col(far).alias("id"))
 
 
 def reach(graph: CodeGraph, file: str, function: str, upstream: bool = False, max_depth: int = 5) -> DataFrame:
     """Distinct functions 1 to ``max_depth`` calls away; the start is among them when it lies on a cycle of at most that length."""
-    steps = _steps(graph, upstream)
-    start = checkpointed(_start(graph, file, function))
-    first = steps.join(start.withColumnRenamed("node", "u"), "u").select(F.col("v").alias("node"))
-    found = levels(steps, first, max_depth - 1).select(F.col("node").alias("id"))
+    step = _step(_tables(graph)[0], upstream)
+    found = levels(step, step(_start(graph, file, function)), max_depth - 1).select("id")
     return graph["functions"].join(found, "id", "left_semi")
 
 
 def min_depth(graph: CodeGraph, file: str, function: str, max_depth: int = 10) -> DataFrame:
     """Functions below the start with their shortest distance (column ``depth``, from 1)."""
-    found = levels(_steps(graph, False), _start(graph, file, function), max_depth).where("depth > 0")
-    return graph["functions"].join(found.withColumnRenamed("node", "id"), "id")
+    found = levels(_step(_tables(graph)[0], False), _start(graph, file, function), max_depth).where("depth > 0")
+    return graph["functions"].join(found, "id")
 
 
 def cycles(graph: CodeGraph, max_length: int = 3) -> DataFrame:
@@ -120,3 +162,75 @@ def cycles(graph: CodeGraph, max_length: int = 3) -> DataFrame:
         paths = checkpointed(grown.select("root", F.col("v").alias("at"), "path"))
         out = out.unionByName(paths.where("at = root").select("path"))
     return out.select(F.concat_ws(">", "path").alias("path"), F.size("path").alias("length"))
+
+
+def call_components(graph: CodeGraph, max_rounds: int | None = None) -> DataFrame:
+    """(id, component): every function on a cycle of calls, of any length, with the smallest id of its strongly connected component.
+
+    Forward and backward colouring: in each round every open node takes the smallest id that reaches it; the nodes that reach their colour's
+    root within the colour are the root's component, which is settled. Nodes that nothing open calls, or that call nothing open, are on no cycle and go
+    first. Each step is one join on narrow rows and checkpointed; functions that call themselves are components of one.
+    """
+    pairs = graph["calls"].where("src is not null and dst is not null").select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    pairs = checkpointed(pairs)
+    loops = pairs.where("u = v").select(F.col("u").alias("id"))
+    open_pairs, out, rounds = pairs.where("u <> v"), [], 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
+        open_pairs = _trimmed(open_pairs)
+        if open_pairs.isEmpty():
+            break
+        nodes = open_pairs.select(F.col("u").alias("id")).union(open_pairs.select("v")).distinct()
+        colour = _smallest(nodes.select("id", F.col("id").alias("c")), open_pairs)
+        within = open_pairs.join(colour.select(F.col("id").alias("u"), "c"), "u").join(colour.select(F.col("id").alias("v"), F.col("c").alias("d")), "v").where("c = d")
+        within = checkpointed(within.select("u", "v", "c"))
+        roots = colour.where("id = c").select("id", "c")
+        back = within.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        found = checkpointed(_reached(roots, back))
+        sizes = found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+        out.append(found.join(sizes.select("c"), "c", "left_semi").select("id", F.col("c").alias("component")))
+        done = found.select("id")
+        open_pairs = checkpointed(within.select("u", "v").join(done.withColumnRenamed("id", "u"), "u", "left_anti").join(done.withColumnRenamed("id", "v"), "v", "left_anti"))
+    alone = loops.select("id", F.col("id").alias("component"))
+    for part in out:
+        alone = alone.join(part.select("id"), "id", "left_anti")
+    for part in out:
+        alone = alone.unionByName(part)
+    return alone
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """Pairs whose first node is called, and whose second one calls, by pairs that are left too."""
+    n = pairs.count()
+    while n:
+        kept = pairs.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
+        pairs = checkpointed(kept)
+        now = pairs.count()
+        if now == n:
+            break
+        n = now
+    return pairs
+
+
+def _smallest(colour: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, c) with the smallest c of all nodes that reach the id."""
+    colour = checkpointed(colour)
+    while True:
+        along = pairs.join(colour.select(F.col("id").alias("u"), "c"), "u").select(F.col("v").alias("id"), F.col("c").alias("n"))
+        low = along.groupBy("id").agg(F.min("n").alias("n"))
+        new = checkpointed(colour.join(low, "id", "left").select("id", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+        colour = new.select("id", "c")
+        if new.where("moved").isEmpty():
+            return colour
+
+
+def _reached(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, c): what (id, c) of ``roots`` reaches along pairs, which never leave a colour."""
+    seen = checkpointed(roots)
+    frontier = seen
+    while True:
+        new = frontier.join(pairs, frontier["id"] == pairs["u"]).select(F.col("v").alias("id"), "c").distinct().join(seen.select("id"), "id", "left_anti")
+        frontier = checkpointed(new.select("id", "c"))
+        if frontier.isEmpty():
+            return seen
+        seen = checkpointed(seen.unionByName(frontier))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from callweave.streaming.refresh import compare
 
 FILE, FILES, FUNCTION, WORD = "Brand#22", ["Brand#22", "Brand#2"], "red rod", "red"
 CLASS, CLASS_FILE, EVENT, SEGMENT, LINK = "Supplier#000000000", "NATION_15", "error", "BUILDING", "/de"
-DEPTH, SHALLOW = 3, 2
+DEPTH, SHALLOW = 5, 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,6 +140,7 @@ add("q9_4_populated", K.populated_labels, " UNION ALL ".join(f"SELECT '{t}' AS \
 # Reports
 add("r1_high_fan_in", K.high_fan_in, f"SELECT b.name, count(*) AS calls FROM {hops('calls')} GROUP BY b.name ORDER BY 2 DESC, 1 LIMIT 20")
 add("r2_cycles", lambda g: K.call_cycles(g, 3), "SELECT path, CAST(length AS INTEGER) AS length FROM (SELECT u AS path, 1 AS length FROM steps WHERE u = v UNION ALL SELECT a.u || '>' || a.v, 2 FROM steps a JOIN steps b ON a.v = b.u AND b.v = a.u WHERE a.u < a.v UNION ALL SELECT a.u || '>' || b.u || '>' || c.u, 3 FROM steps a JOIN steps b ON a.v = b.u JOIN steps c ON b.v = c.u AND c.v = a.u WHERE a.u < b.u AND a.u < c.u AND b.u <> c.u)", "steps AS MATERIALIZED (SELECT DISTINCT src AS u, dst AS v FROM calls)")
+add("r2_components", lambda g: K.functions_on_cycles(g), "SELECT f.id, f.name, f.file, min(least(w.a, w.b)) AS component FROM (SELECT x.a, x.b FROM walks x JOIN walks y ON x.a = y.b AND x.b = y.a) w JOIN functions f ON f.id = w.a GROUP BY ALL", "steps AS MATERIALIZED (SELECT DISTINCT src AS u, dst AS v FROM calls), walks AS (SELECT u AS a, v AS b FROM steps UNION SELECT walks.a, steps.v FROM walks JOIN steps ON walks.b = steps.u)")
 add("r3_orphans", K.orphans, "SELECT id, name, file FROM functions WHERE id NOT IN (SELECT src FROM calls) AND id NOT IN (SELECT dst FROM calls)")
 add("l1_top_called", K.top_called_by_name, f"SELECT b.name, count(*) AS calls FROM {hops('calls')} GROUP BY b.name ORDER BY 2 DESC, 1 LIMIT 5")
 add("l2_top_classes", K.top_classes_by_methods, f"SELECT b.name, count(*) AS method_count FROM {hops('method_of')} GROUP BY b.name ORDER BY 2 DESC, 1 LIMIT 5")
@@ -192,6 +194,8 @@ def _impact(direction: str, depth: int) -> str:
 
 add("t1u_impact_upstream", lambda g: V.impact(g, FILE, FUNCTION, "upstream", DEPTH), "SELECT * FROM rows", _impact("upstream", DEPTH))
 add("t1d_impact_downstream", lambda g: V.impact(g, FILE, FUNCTION, "downstream", DEPTH), "SELECT * FROM rows", _impact("downstream", DEPTH))
+_down = re.sub(r"\b(steps|walk|dist|rows)\b", r"down_\1", _impact("downstream", DEPTH).split("), ", 1)[1])
+add("t1b_v4_impact_both", lambda g: V.impact_table(V.impact(g, FILE, FUNCTION, "both", DEPTH)), "SELECT depth, type, file, \"function\", line FROM rows UNION ALL SELECT depth, type, file, \"function\", line FROM down_rows", f"{_impact('upstream', DEPTH)}, {_down}")
 add("t2_neighbourhood", lambda g: V.neighbourhood(g, FILE, FUNCTION, "downstream", SHALLOW), "SELECT DISTINCT file, \"function\", line FROM rows", _impact("downstream", SHALLOW))
 
 # Joins, keys and checks

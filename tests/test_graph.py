@@ -10,7 +10,7 @@ from callweave.functions import columns as C
 from callweave.operators import cookbook as K
 from callweave.operators import mutate as W
 from callweave.operators import points as P
-from callweave.operators.traverse import cycles, impact, impact_table, levels, min_depth, neighbourhood, reach
+from callweave.operators.traverse import call_components, cycles, impact, impact_table, levels, min_depth, neighbourhood, reach
 from callweave.plans.render import function_chart, module_chart, node_id, save
 from callweave.sources.schemas import TABLES
 from callweave.sources.store import CodeGraph, ReadOnlyError, check_unique, conform, dangling_edges, export_summary, load_statistics, read_table
@@ -94,7 +94,44 @@ def test_long_chain(spark):
 
 def test_levels_without_start(spark):
     empty = spark.createDataFrame([], "u string, v string")
-    assert levels(empty, spark.createDataFrame([(None,)], "node string"), 3).count() == 0
+    step = lambda nodes: empty.join(nodes, empty["u"] == nodes["node"]).select(empty["v"].alias("node"))
+    assert levels(step, spark.createDataFrame([(None,)], "node string"), 3).count() == 0
+    assert levels(step, spark.createDataFrame([("a",), ("a",)], "node string"), 3).collect() == [("a", 0)]
+
+
+@pytest.mark.parametrize("listed", [0, 1, 3, 10, 1000])
+def test_levels_listed_or_distributed(spark, listed):
+    """However many nodes may be listed on the driver, distances are the same."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "u long, v long")
+    step = lambda nodes: df.join(nodes, df["u"] == nodes["node"]).select(F.col("v").alias("node"))
+    dist, frontier = {0: 0, 1: 0}, {0, 1}
+    for depth in range(1, 6):
+        frontier = {v for u, v in pairs if u in frontier} - set(dist)
+        dist |= dict.fromkeys(frontier, depth)
+    got = levels(step, spark.createDataFrame([(0,), (1,), (None,)], "node long"), 5, listed).collect()
+    assert len(got) == len(dist) and {r.node: r.depth for r in got} == dist
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    """Strongly connected components against mutual reachability."""
+    rng = random.Random(seed)
+    calls = [(f"{rng.randrange(14):02}", f"{rng.randrange(14):02}", 1) for _ in range(18)] + [("90", "90", 1), ("91", "92", 1), ("92", "93", 2), ("93", "94", 1), ("94", "91", 1), ("95", "91", 1)]
+    reach_of = {}
+    for s in {x for c in calls for x in c[:2]}:
+        seen, todo = set(), [s]
+        while todo:
+            at = todo.pop()
+            for a, b, _ in calls:
+                if a == at and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach_of[s] = seen
+    want = {(s, min(t for t in reach_of[s] if s in reach_of[t])) for s in reach_of if s in reach_of[s]}
+    got = [(r.id, r.component) for r in call_components(graph_of(spark, calls)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("94", "91") in want
 
 
 def test_points(g):
