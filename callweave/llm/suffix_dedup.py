@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -289,10 +290,15 @@ def repeated_passages(
         return pa.RecordBatch.from_arrays([pa.array(np.array(minis)[of]), key, pa.array(a), pa.array(b), pa.array(first)], names=["mini", "key", "low", "high", "first_doc_id"])
 
     def refine(batches):
-        """Segments come sorted by minimiser; those of one are never parted."""
+        """Segments come sorted by minimiser; those of one are never parted. A window of a hot one, without words, is a span if it occurs more than once."""
         have, n = tuple([] for _ in range(5)), 0
         for batch in batches:
-            for mini, key, words, times, doc in zip(*(c.to_pylist() for c in batch.columns)):
+            alone = batch.filter(pa.compute.and_(batch.column(2).is_null(), pa.compute.greater(batch.column(3), 1)))
+            if alone.num_rows:
+                low, high = (pa.array(np.full(alone.num_rows, x, dtype=np.int64)) for x in (0, min_words))
+                yield pa.RecordBatch.from_arrays([alone.column(0), alone.column(1), low, high, alone.column(4)], names=["mini", "key", "low", "high", "first_doc_id"])
+            whole = batch.filter(batch.column(2).is_valid())
+            for mini, key, words, times, doc in zip(*(c.to_pylist() for c in whole.columns)):
                 if n >= at_once and mini != have[0][-1]:
                     yield refined(*have)
                     have, n = tuple([] for _ in range(5)), 0
@@ -311,11 +317,11 @@ def repeated_passages(
     placed = with_text.mapInArrow(words_of, "id long, digest long, first long, mini long, key binary, words binary")
 
     # Words cross the network to be merged, and then to be refined; their places meet the outcome by a 128-bit key.
-    merged = placed.groupBy("mini", "key", "words").agg(F.count("*").alias("times"), F.min("id").alias("doc"), F.max(F.col("words").isNull()).alias("bare"))
-    # Filters on an aggregate stay above the exchange, so that both read the same one.
-    cold = merged.where("not bare").select("mini", "key", "words", "times", "doc").repartition("mini").sortWithinPartitions("mini")
-    often = merged.where("bare and times > 1").select("mini", "key", F.lit(0).cast("long").alias("low"), F.lit(min_words).cast("long").alias("high"), F.col("doc").alias("first_doc_id"))
-    spans = cold.mapInArrow(refine, "mini long, key binary, low long, high long, first_doc_id long").unionByName(often)
+    merged = placed.groupBy("mini", "key", "words").agg(F.count("*").alias("times"), F.min("id").alias("doc"))
+    # A minimiser's segments come together; windows of hot ones, which are counted already, go anywhere.
+    home = F.when(F.col("words").isNull(), F.xxhash64("key")).otherwise(F.col("mini"))
+    gathered = merged.select("mini", "key", "words", "times", "doc").repartition(home).sortWithinPartitions("mini")
+    spans = gathered.mapInArrow(refine, "mini long, key binary, low long, high long, first_doc_id long")
     back = placed.drop("words").join(spans, ["mini", "key"]).select("id", "digest", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"), "first_doc_id")
     return joined_spans(back)
 
