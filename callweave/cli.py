@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callweave.operators.points import most_called, statistics, variable_usage
 from callweave.operators.traverse import impact, impact_table
 from callweave.plans.analyze import analyze, has_graph
+from callweave.plans.measure import Steps, text_table
 from callweave.plans.render import function_chart, module_chart, save
 from callweave.session import local_session
 from callweave.sources.scan import excludes
@@ -57,7 +58,13 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = local_session(args.cpus)
     if args.command == "analyze":
-        print(analyze(spark, args.path, args.graph, excludes(tuple(args.include), tuple(args.exclude)), args.incremental, args.delete_missing, source_lines=args.source_lines))
+        steps = Steps(spark)
+        with steps.step("analyze") as note:
+            done = analyze(spark, args.path, args.graph, excludes(tuple(args.include), tuple(args.exclude)), args.incremental, args.delete_missing, source_lines=args.source_lines)
+            note["rows"] = sum((done.get("status") or {"files": done.get("summary", {}).get("files", 0)}).values())
+        print(text_table(["what", "n"], list((done.get("summary") or done["status"]).items())))
+        print(text_table(["step", "time"], [(k, f"{v:.3f}s") for k, v in done["seconds"].items()]))
+        print(steps.table())
         return 0
     if not has_graph(spark, args.graph):
         print(f"no graph in {args.graph}; run analyze first", file=sys.stderr)
@@ -85,7 +92,5 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def show(df) -> None:
-    rows = df.collect()
-    print("\t".join(df.columns))
-    for r in rows:
-        print("\t".join("" if x is None else str(x) for x in r))
+    """A report's rows as a table."""
+    print(text_table(df.columns, [tuple(r) for r in df.collect()]))

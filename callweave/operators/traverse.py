@@ -30,11 +30,11 @@ def _list(df: DataFrame, at_most: int) -> list[tuple] | None:
     return None if got.num_rows > at_most else list(zip(*(c.to_pylist() for c in got.columns)))
 
 
-def levels(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_depth: int, listed: int = LISTED) -> DataFrame:
+def levels(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_depth: int, listed: int = LISTED, known: list[tuple] | None = None) -> DataFrame:
     """(node columns, depth): shortest distance from the rows of ``start``, up to ``max_depth``, along ``step``.
 
     ``step`` takes a frontier, a table of distinct nodes, to the nodes one step away, in the same columns. Nodes with a null are ignored; repeated ones do not matter. The
-    start has depth 0. ``listed`` does not change the result.
+    start has depth 0. ``listed`` does not change the result. ``known`` are the rows of ``start`` where the caller has them.
     """
     spark, keys = start.sparkSession, start.columns
     kinds = to_arrow_schema(start.schema)
@@ -48,7 +48,7 @@ def levels(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_depth:
         return df if depth is None else df.withColumn("depth", F.lit(depth))
 
     first = clean(start)
-    rows, depth = _list(first, listed), 0
+    rows, depth = _list(first, listed) if known is None else known, 0
     seen: dict[tuple, int] = dict.fromkeys(rows or (), 0)
     frontier = None if rows is not None else checkpointed(first)
     parts = [] if rows is not None else [frontier.withColumn("depth", F.lit(0))]
@@ -68,10 +68,10 @@ def levels(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_depth:
         parts.insert(0, spark.createDataFrame(pa.table([*by_depth, pa.array(list(seen.values()), pa.int32())], names=[*keys, "depth"])))
     while frontier is not None and depth < max_depth:
         depth += 1
-        known = parts[0].select(*keys)
+        before = parts[0].select(*keys)
         for p in parts[1:]:
-            known = known.union(p.select(*keys))
-        frontier = checkpointed(clean(step(frontier)).join(known, keys, "left_anti"))
+            before = before.union(p.select(*keys))
+        frontier = checkpointed(clean(step(frontier)).join(before, keys, "left_anti"))
         if frontier.isEmpty():
             break
         parts.append(frontier.withColumn("depth", F.lit(depth)))
@@ -110,7 +110,7 @@ def _impact(graph: CodeGraph, calls: DataFrame, functions: DataFrame, file: str,
         return calls.join(functions.join(nodes, ["file", "name"]).drop("file", "name").withColumnRenamed("id", near), near)
 
     start = graph.spark.createDataFrame([(file, function)], "file string, name string")
-    reached = levels(lambda nodes: calls_at(nodes).select(far).distinct().join(ends, far), start, max_depth - 1) if max_depth > 0 else start.withColumn("depth", F.lit(0)).limit(0)
+    reached = levels(lambda nodes: calls_at(nodes).select(far).join(ends, far), start, max_depth - 1, known=[(file, function)]) if max_depth > 0 else start.withColumn("depth", F.lit(0)).limit(0)
     rows = calls_at(reached).join(ends, far)
     return rows.select("file", F.col("name").alias("function"), F.col("call_line").alias("line"), F.lit(kind).alias("type"), (F.col("depth") + 1).alias("depth"))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from callweave.operators.resolve import build_graph
 from callweave.sources.scan import DEFAULT_EXCLUDES, analyse, scan_sources, summary
-from callweave.sources.store import CodeGraph, path_exists, read_table, swap_in, table_path
+from callweave.sources.store import CodeGraph, path_exists, read_table, restored, take_place, table_path, write_beside
 from callweave.streaming.refresh import refresh
 
 
@@ -24,22 +24,27 @@ def analyze(spark: SparkSession, root: str, folder: str, patterns: tuple[str, ..
     """
     took, began = {}, time.perf_counter()
     files = scan_sources(spark, root, patterns)
-    store = analysis_path(folder)
+    store = restored(spark, analysis_path(folder))
     if incremental and path_exists(spark, store) and read_table(spark, folder, "files") is not None:
-        graph, status, whole = refresh(CodeGraph.from_parquet(spark, folder), files, spark.read.parquet(store), delete_missing, compat, source_lines)
+        _, status, whole = refresh(CodeGraph.from_parquet(spark, folder), files, spark.read.parquet(store), delete_missing, compat, source_lines)
         counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
-        took["parse"] = time.perf_counter() - began
-        if set(counts) - {"unchanged"}:
-            graph.write(folder)
-            swap_in(whole, store)
+        if set(counts) - {"unchanged"} - (set() if delete_missing else {"deleted"}):
+            _put(spark, whole, folder, took, began)
+        else:
+            took["parse"] = time.perf_counter() - began
         return {"status": counts, "seconds": took | {"total": time.perf_counter() - began}}
-    swap_in(analyse(files, compat, source_lines), store)
-    analysis = spark.read.parquet(store)
+    _put(spark, analyse(files, compat, source_lines), folder, took, began)
+    return {"summary": summary(spark.read.parquet(store)).first().asDict(), "seconds": took | {"total": time.perf_counter() - began}}
+
+
+def _put(spark: SparkSession, analysis: DataFrame, folder: str, took: dict, began: float) -> None:
+    """Writes an analysis and its graph, all beside what is there, and then swaps: the analysis first, the table of files, which the next refresh compares, last."""
+    store = analysis_path(folder)
+    fresh = write_beside(analysis, store)
     took["parse"] = time.perf_counter() - began
     at = time.perf_counter()
-    build_graph(analysis).write(folder)
+    build_graph(spark.read.parquet(fresh)).write(folder, then=lambda: take_place(spark, fresh, store))
     took["write"] = time.perf_counter() - at
-    return {"summary": summary(analysis).first().asDict(), "seconds": took | {"total": time.perf_counter() - began}}
 
 
 def has_graph(spark: SparkSession, folder: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import PurePosixPath
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.match import hop
@@ -12,6 +13,8 @@ from callweave.operators.points import functions_in_file
 from callweave.operators.traverse import impact
 from callweave.sources.store import CodeGraph
 
+#: A chart of more rows than this is refused: nobody could read it, and it would have to come to the driver.
+MAX_ROWS = 2_000
 STYLES = ("classDef focus fill:#ffd54f,stroke:#b28704", "classDef caller fill:#bbdefb,stroke:#1565c0", "classDef callee fill:#c8e6c9,stroke:#2e7d32")
 
 
@@ -24,11 +27,19 @@ def label(file: str, function: str, line: int | None = None) -> str:
     return f'"{function}<br/>{place}"'
 
 
-def function_chart(graph: CodeGraph, file: str, function: str, max_depth: int = 3, edges: str = "focus") -> str:
+def few(rows: DataFrame, max_rows: int) -> list:
+    """The rows, or a ValueError if there are more than ``max_rows``."""
+    got = rows.limit(max_rows + 1).collect()
+    if len(got) > max_rows:
+        raise ValueError(f"more than {max_rows} rows for one chart; take a smaller depth")
+    return got
+
+
+def function_chart(graph: CodeGraph, file: str, function: str, max_depth: int = 3, edges: str = "focus", max_rows: int = MAX_ROWS) -> str:
     """The function with its callers and callees up to ``max_depth``. ``edges``: 'focus' ties each to the function itself, 'path' draws the calls as they are."""
     if edges not in ("focus", "path"):
         raise ValueError("edges must be focus or path")
-    near = {d: sorted({(r.file, r.function, r.line) for r in impact(graph, file, function, d, max_depth).collect()}) for d in ("upstream", "downstream")}
+    near = {d: sorted({(r.file, r.function, r.line) for r in few(impact(graph, file, function, d, max_depth), max_rows)}) for d in ("upstream", "downstream")}
     focus = node_id(file, function)
     nodes, arrows = {focus: (label(file, function), "focus")}, set()
     for direction, kind in (("upstream", "caller"), ("downstream", "callee")):
@@ -43,19 +54,20 @@ def function_chart(graph: CodeGraph, file: str, function: str, max_depth: int =
         a = wanted.select(F.col("file").alias("a_file"), F.col("name").alias("a_name"))
         b = wanted.select(F.col("file").alias("b_file"), F.col("name").alias("b_name"))
         rows = hop(graph, "calls").join(a, ["a_file", "a_name"], "left_semi").join(b, ["b_file", "b_name"], "left_semi")
-        arrows = {(node_id(r.a_file, r.a_name), node_id(r.b_file, r.b_name)) for r in rows.select("a_file", "a_name", "b_file", "b_name").distinct().collect()}
+        arrows = {(node_id(r.a_file, r.a_name), node_id(r.b_file, r.b_name)) for r in few(rows.select("a_file", "a_name", "b_file", "b_name").distinct(), max_rows)}
     lines = ["flowchart TD"]
     lines += [f"    {n}[{text}]:::{kind}" for n, (text, kind) in sorted(nodes.items())]
     lines += [f"    {a} --> {b}" for a, b in sorted(arrows)]
     return "\n".join([*lines, *(f"    {s}" for s in STYLES)])
 
 
-def module_chart(graph: CodeGraph, file, include_imports=True) -> str:
+def module_chart(graph: CodeGraph, file, include_imports=True, max_rows: int = MAX_ROWS) -> str:
     """All functions of a file and what they call; functions of other files are rounded, and left out without ``include_imports``."""
-    own = sorted((r.name, r.start_line) for r in functions_in_file(graph, file).collect())
+    own = sorted((r.name, r.start_line) for r in few(functions_in_file(graph, file), max_rows))
     if not own:
         return f"flowchart LR\n    empty[\"No functions in {PurePosixPath(file).name}\"]"
-    calls = hop(graph, "calls").where(F.col("a_file") == file).select("a_name", "b_file", "b_name").distinct().collect()
+    calls = hop(graph, "calls").where(F.col("a_file") == file).select("a_name", "b_file", "b_name").distinct()
+    calls = few(calls, max_rows)
     lines = ["flowchart LR"] + [f"    {node_id(file, n)}[{label(file, n, line)}]" for n, line in own]
     outside = sorted({(r.b_file, r.b_name) for r in calls if r.b_file != file})
     if include_imports:

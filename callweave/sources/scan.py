@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from callweave.functions.columns import is_excluded, parent_directory, relative_path
-from callweave.session import importable
+from callweave.functions.columns import parent_directory, relative_path
+from callweave.session import checkpointed, importable
 from callweave.sources.pyparse import KINDS, analyse_bytes, analysis_ddl
 
 DEFAULT_EXCLUDES = ("__pycache__", ".venv", "venv", ".git", "node_modules", "build", "dist", ".egg-info")
@@ -25,19 +25,58 @@ def excludes(include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> tu
     return (*[p for p in DEFAULT_EXCLUDES if p not in include], *exclude)
 
 
-def _underscored(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(path, content, modificationTime) of files like __init__.py, which Spark's own sources take for hidden ones and leave out.
+#: Entries that a task lists before it hands the folders it has not seen to other tasks.
+LIST_ENTRIES = 20_000
 
-    The driver lists their names; tasks read them.
-    """
+
+def qualified(spark: SparkSession, root: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
-    found = []
-    while listed.hasNext():
-        status = listed.next()
-        if status.getPath().getName().startswith("_") and fnmatch.fnmatch(status.getPath().getName(), glob):
-            found.append((status.getPath().toString(), status.getModificationTime()))
-    names = spark.createDataFrame(found, "path string, ms long").repartition(max(1, len(found) // 1000))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def listed(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), glob: str = "*", entries: int = LIST_ENTRIES) -> DataFrame:
+    """(path, size, ms): files below ``root`` whose path holds none of ``patterns`` and whose name fits ``glob``, names that begin with "_" included.
+
+    Folders are listed in tasks, excluded ones not at all. A task goes on into the folders it finds until it has seen ``entries`` entries; the rest goes to the next
+    round, which spreads it over all tasks. Small trees take one round, deep or broad ones a few.
+    """
+    importable(spark)
+
+    def go(batches):
+        for batch in batches:
+            todo, out, seen = batch.column(0).to_pylist(), [], 0
+            while todo and seen < entries:
+                fs, at = _filesystem(todo[-1])
+                folder = todo.pop()
+                for info in fs.get_file_info(pa_fs.FileSelector(at, allow_not_found=True)):
+                    seen += 1
+                    path = f"{folder}/{info.base_name}"
+                    if any(p in path for p in patterns):
+                        continue
+                    if info.type == pa_fs.FileType.Directory:
+                        todo.append(path)
+                    elif fnmatch.fnmatch(info.base_name, glob):
+                        out.append((path, info.size, (info.mtime_ns or 0) // 1_000_000))
+            rows = [*out, *((folder, None, None) for folder in todo)]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["path", "size", "ms"])
+
+    frontier = spark.createDataFrame([(qualified(spark, root),)], "path string")
+    files = None
+    while True:
+        found = checkpointed(frontier.mapInArrow(go, "path string, size long, ms long"))
+        here = found.where("ms is not null")
+        files = here if files is None else files.unionByName(here)
+        frontier = found.where("ms is null").select("path")
+        n = frontier.count()
+        if not n:
+            return files
+        frontier = frontier.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+
+
+def read_files(files: DataFrame, bytes_at_once: int = 16 << 20) -> DataFrame:
+    """(path, content, modificationTime) of listed files, read in tasks of about ``bytes_at_once``. A file that has gone since, or cannot be read, has a null content."""
+    size = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
     def read(batches):
         for batch in batches:
@@ -45,7 +84,8 @@ def _underscored(spark: SparkSession, root: str, glob: str) -> DataFrame:
                 part = batch.slice(at, BATCH)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_bytes_of(p) for p in part.column(0).to_pylist()], pa.binary()), part.column(1)], names=["path", "content", "ms"])
 
-    return names.mapInArrow(read, "path string, content binary, ms long").select("path", "content", F.timestamp_millis("ms").alias("modificationTime"))
+    spread = files.select("path", "ms").repartition(max(1, min(4096, size // bytes_at_once + files.sparkSession.sparkContext.defaultParallelism)))
+    return spread.mapInArrow(read, "path string, content binary, ms long").select("path", "content", F.timestamp_millis("ms").alias("modificationTime"))
 
 
 def _filesystem(path: str) -> tuple[pa_fs.FileSystem, str]:
@@ -54,27 +94,24 @@ def _filesystem(path: str) -> tuple[pa_fs.FileSystem, str]:
     return pa_fs.FileSystem.from_uri(path)
 
 
-def _bytes_of(path: str) -> bytes:
+def _bytes_of(path: str) -> bytes | None:
     fs, inner = _filesystem(path)
-    with fs.open_input_stream(inner) as f:
-        return f.read()
+    try:
+        with fs.open_input_stream(inner) as f:
+            return f.read()
+    except OSError:
+        return None
 
 
 def scan_sources(spark: SparkSession, root: str, patterns: tuple[str, ...] = DEFAULT_EXCLUDES, glob: str = "*.py") -> DataFrame:
-    """(file, content, modified): files below ``root`` whose path holds none of ``patterns``. Excluded files are never read."""
-    importable(spark)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = root if "://" in root or root.startswith("file:") else "file:" + root
-    rows = read.select("path", "content", "modificationTime").unionByName(_underscored(spark, root, glob))
-    rows = rows.where(~is_excluded("path", patterns))
-    return rows.select(relative_path("path", base).alias("file"), "content", F.col("modificationTime").alias("modified"))
+    """(file, content, modified): files below ``root`` whose path holds none of ``patterns``. Excluded files are never read; one that cannot be read has a null content."""
+    rows = read_files(listed(spark, root, patterns, glob))
+    return rows.select(relative_path("path", qualified(spark, root)).alias("file"), "content", F.col("modificationTime").alias("modified"))
 
 
 def write_tree(files: DataFrame, root: str) -> None:
     """Writes (file, content) rows as files below ``root``, each in the task that holds it. The folder must be one that all executors share."""
-    spark = importable(files.sparkSession)
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    base = qualified(importable(files.sparkSession), root)
 
     def put(batches):
         for batch in batches:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,11 @@ from callweave.functions.columns import string_list
 from callweave.sources.schemas import CONTEXTS, EDGES, ENDPOINTS, NODES, TABLES
 
 
+#: Tables written at the same time.
+AT_ONCE = 8
+ASIDE = ".old"
+
+
 class ReadOnlyError(RuntimeError):
     """A change to a graph that was opened read-only."""
 
@@ -108,15 +116,24 @@ class CodeGraph:
                 raise ValueError("edges without their ends: " + ", ".join(f"{r.table} {r.n}" for r in bad))
         return graph
 
-    def write(self, folder: str, tables: list[str] | None = None) -> dict[str, float]:
-        """Writes tables, typed even where empty: all of them to new folders, which then take the old ones' places, so the graph may be read from ``folder`` itself. Seconds by table."""
+    def write(self, folder: str, tables: list[str] | None = None, then: Callable[[], None] | None = None) -> dict[str, float]:
+        """Writes tables, typed even where empty: all of them to new folders, which then take the old ones' places, so the graph may be read from ``folder`` itself. Seconds by table.
+
+        ``then`` is called when all is written, before the first swap; the table of files is swapped last.
+        """
         took, fresh = {}, {}
-        for name in tables or TABLES:
+
+        def one(name: str) -> None:
             began = time.perf_counter()
             fresh[name] = write_beside(self[name], table_path(folder, name))
             took[name] = time.perf_counter() - began
-        for name, path in fresh.items():
-            take_place(self.spark, path, table_path(folder, name))
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # jobs of small tables leave most cores idle
+            list(pool.map(one, tables or TABLES))
+        if then:
+            then()
+        for name in sorted(fresh, key=lambda n: n == "files"):
+            take_place(self.spark, fresh[name], table_path(folder, name))
         return took
 
 
@@ -141,25 +158,41 @@ def write_beside(df: DataFrame, path: str) -> str:
 
 
 def take_place(spark: SparkSession, fresh: str, path: str) -> None:
+    """Moves a written folder to ``path``. The old one steps aside first and is deleted last: whenever this stops, one of them is whole, and restored() finds it."""
     fs, new = _fs(spark, fresh)
-    old = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(old, True)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    old, aside = make(path), make(f"{path}{ASIDE}")
+    if fs.exists(old):
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"could not move {path} aside")
     if not fs.rename(new, old):
         raise OSError(f"could not move {fresh} to {path}")
+    fs.delete(aside, True)
     spark.catalog.refreshByPath(path)
 
 
-def swap_in(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet folder that ``df`` may itself be read from."""
-    take_place(df.sparkSession, write_beside(df, path), path)
+def restored(spark: SparkSession, path: str) -> str:
+    """``path``, after a folder that a broken swap left aside has come back to it."""
+    fs, at = _fs(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}{ASIDE}")
+    if not fs.exists(at) and fs.exists(aside):
+        fs.rename(aside, at)
+    return path
 
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame | None:
     """One table, or None where it is missing. ``columns`` prunes the scan."""
-    path = table_path(folder, name)
+    path = restored(spark, table_path(folder, name))
     if not path_exists(spark, path):
         return None
-    df = spark.read.parquet(path)
+    try:
+        df = spark.read.parquet(path)
+    except (AnalysisException, Py4JJavaError) as e:
+        if not any(mark in str(e) for mark in ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "not a Parquet file")):
+            raise
+        warnings.warn(f"{path} cannot be read: {e}", stacklevel=2)
+        return None
     if name == "files":
         require_file_columns(df)
     df = conform(df, name)

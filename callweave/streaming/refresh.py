@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.functions.columns import relative_path
 from callweave.operators.mutate import delete_files, merged
 from callweave.operators.resolve import build_graph
 from callweave.session import checkpointed
-from callweave.sources.scan import analyse
+from callweave.sources.scan import analyse, listed, qualified, read_files
 from callweave.sources.store import CodeGraph
 
 
@@ -43,8 +44,18 @@ def refresh(graph: CodeGraph, files: DataFrame, analysis_store: DataFrame | None
 
 
 def changed_files_stream(spark: SparkSession, root: str, handle: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*.py"):
-    """A stream over the files that appear below ``root``; ``handle`` gets (file, content, modified) and the batch number, e.g. to refresh a graph."""
+    """A stream over the files that appear below ``root``; ``handle`` gets (file, content, modified) and the batch number, e.g. to refresh a graph.
+
+    Spark's file streams do not see names that begin with "_". So each batch brings, beside its new files, all of those, such as __init__.py, as they are then; a
+    refresh tells by their hash which of them changed. They do not start a batch of their own. Paths are relative to ``root``, as those of a scan.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
+    base = qualified(spark, root)
     read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    rows = read.select(F.col("path").alias("file"), "content", F.col("modificationTime").alias("modified"))
-    return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def whole(df: DataFrame, batch: int) -> None:
+        hidden = read_files(listed(df.sparkSession, root, (), f"_{glob.lstrip('_')}"))
+        rows = df.select("path", "content", "modificationTime").unionByName(hidden)
+        handle(rows.select(relative_path("path", base).alias("file"), "content", F.col("modificationTime").alias("modified")), batch)
+
+    return read.writeStream.foreachBatch(whole).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
