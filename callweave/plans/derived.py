@@ -198,7 +198,7 @@ files AS (
     p_type AS source_code FROM part
   UNION ALL SELECT 'fn_main' || n_nationkey, 'main', n_name, 1, 9, true, '' FROM nation
 ), classes AS (
-  SELECT 'cls_' || s.s_suppkey AS id, s.s_name AS name, n_name AS file, s.s_suppkey AS start_line, s.s_suppkey + 9 AS end_line, coalesce(b.s_name, '') AS bases, s.s_acctbal >= 0 AS is_public
+  SELECT 'cls_' || s.s_suppkey AS id, s.s_name AS name, n_name AS file, s.s_suppkey AS start_line, s.s_suppkey + 9 AS end_line, coalesce(b.s_name, '') AS bases, s.s_acctbal >= 0 AS is_public, '' AS source_code
   FROM supplier s JOIN nation ON s.s_nationkey = n_nationkey LEFT JOIN supplier b ON b.s_suppkey = s.s_suppkey // 2 AND s.s_suppkey > 0
 ), variables AS (
   SELECT 'var_' || c_custkey AS id, c_name AS name, c_mktsegment AS file, c_custkey AS definition_line, CASE WHEN c_acctbal < 0 THEN 'module' ELSE 'function:' || c_name END AS scope FROM customer

@@ -130,7 +130,8 @@ add("q8_5_most_imports", K.files_with_most_imports, f"SELECT a.path, count(DISTI
 add("q8_6_public_surface", lambda g: K.public_surface(g, FILE), f"SELECT (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM functions WHERE file = '{FILE}' AND is_public) AS functions, (SELECT coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') FROM classes WHERE file = '{FILE}' AND is_public) AS classes")
 # 9
 add("q9_1_file_count", K.file_count, "SELECT count(*) AS files FROM files")
-add("q9_2_tables", K.list_tables)
+_TABLE_ROWS = ", ".join([f"('{t.name}', 'NODE', '{t.label}', NULL, NULL)" for t in NODES.values()] + [f"('{t.name}', 'REL', '{t.label}', '{NODES[t.src].label}', '{NODES[t.dst].label}')" for t in EDGES.values()])
+add("q9_2_tables", K.list_tables, f"SELECT * FROM (VALUES {_TABLE_ROWS}) v(name, kind, label, src_label, dst_label)")
 add("q9_3_counts", K.overall_counts_with_attributes, _counts((*K.COUNTED, "attributes")))
 _EDGE_ROWS = " UNION ALL ".join(f"SELECT '{t}' AS edge, count(*) AS n FROM {_sql_name(t)}" for t in EDGES)
 add("q9_3b_edge_counts", K.edge_counts, "SELECT edge, n FROM per_edge UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM per_edge", f"per_edge AS (SELECT * FROM ({_EDGE_ROWS}))")
@@ -168,9 +169,9 @@ add("a2_callees", lambda g: P.callees(g, FILE, FUNCTION), f"SELECT b.file, b.nam
 add("a3_variable_usage", lambda g: P.variable_usage(g, "FURNITURE", "Customer#000000073", 73), f"SELECT a.file, a.name, e.line_number AS line FROM {hops('references')} WHERE b.file = 'FURNITURE' AND b.name = 'Customer#000000073' AND b.definition_line = 73 AND e.context = 'use'")
 add("a4_function", lambda g: P.get_function(g, FILE, FUNCTION), f"SELECT * FROM functions WHERE file = '{FILE}' AND name = '{FUNCTION}' ORDER BY start_line, id LIMIT 1")
 add("a5_functions", lambda g: P.functions_in_file(g, FILE), f"SELECT * FROM functions WHERE file = '{FILE}'")
-add("a6_class", lambda g: P.get_class(g, CLASS_FILE, CLASS).drop("source_code"), f"SELECT * FROM classes WHERE file = '{CLASS_FILE}' AND name = '{CLASS}' ORDER BY start_line, id LIMIT 1")
-add("a7_classes", lambda g: P.classes_in_file(g, CLASS_FILE).drop("source_code"), f"SELECT * FROM classes WHERE file = '{CLASS_FILE}'")
-add("a10_imports", lambda g: P.imports_of_file(g, _first_page(g)).drop("alias"), f"SELECT b.* EXCLUDE (alias) FROM {hops('has_import')} WHERE a.path = {FIRST_PAGE}")
+add("a6_class", lambda g: P.get_class(g, CLASS_FILE, CLASS), f"SELECT * FROM classes WHERE file = '{CLASS_FILE}' AND name = '{CLASS}' ORDER BY start_line, id LIMIT 1")
+add("a7_classes", lambda g: P.classes_in_file(g, CLASS_FILE), f"SELECT * FROM classes WHERE file = '{CLASS_FILE}'")
+add("a10_imports", lambda g: P.imports_of_file(g, _first_page(g)), f"SELECT b.* EXCLUDE (alias), CAST(NULL AS VARCHAR) AS alias FROM {hops('has_import')} WHERE a.path = {FIRST_PAGE}")
 add("a11_decorators", lambda g: P.decorators_of_function(g, FILE, FUNCTION), f"SELECT b.id, b.name, b.file, b.line_number, b.arguments, e.position FROM {hops('decorated_by')} WHERE a.file = '{FILE}' AND a.name = '{FUNCTION}'")
 add("a12_attributes", lambda g: P.attributes_of_class(g, CLASS_FILE, CLASS), f"SELECT b.* FROM {hops('has_attribute')} WHERE a.file = '{CLASS_FILE}' AND a.name = '{CLASS}'")
 add("a13_raising", lambda g: P.functions_raising(g, EVENT), f"SELECT DISTINCT a.file, a.name, a.start_line FROM {hops('handles_exception')} WHERE b.name = '{EVENT}' AND e.context = 'raise'")
@@ -210,7 +211,7 @@ add("p3_function_keys", lambda g: g["functions"].select("id", C.function_key().a
 add("p3_synthetic_keys", lambda g: g["functions"].select("id", C.synthetic_key("name", "file").alias("key")), "SELECT id, substr(md5(concat_ws(':', name, file)), 1, 16) AS key FROM functions")
 add("p2_first_function", lambda g: R.first_by(g["functions"], ["file", "name"], "start_line", "id").select("file", "name", "id"), "SELECT file, name, arg_min(id, (start_line, id)) AS id FROM functions GROUP BY ALL")
 add("v3_node_labels", lambda g: g["functions"].select("id", C.node_label("file", "name").alias("label")), "SELECT id, regexp_replace(file || '_' || name, '[^0-9A-Za-z_]', '_', 'g') AS label FROM functions")
-add("p1_relative_path", lambda g: g["files"].select("path", C.relative_path(F.concat(F.lit("/root/"), "path"), "/root").alias("relative")), "SELECT path, path AS relative FROM files")
+add("p1_relative_path", lambda g: g["files"].select("path", C.relative_path(F.concat(F.when(F.col("path").startswith("Brand"), "/root/").when(F.col("path").startswith("NATION"), "/rooted/").otherwise("/root"), "path"), "/root").alias("relative")), "SELECT path, CASE WHEN starts_with(path, 'Brand') THEN path WHEN starts_with(path, 'NATION') THEN '/rooted/' || path ELSE '/root' || path END AS relative FROM files")
 
 
 # Extraction and resolution over whole texts

@@ -189,7 +189,7 @@ def s8_s9_s13_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
     graph(spark, sf_dir).write(folder, ["functions"])
     back = CodeGraph.from_parquet(spark, folder)
-    return back["functions"].select("id", "name").withColumn("variables", F.lit(back["variables"].count()))
+    return back["functions"].select("id", "name").withColumn("variables", F.lit(back["variables"].count()).cast("long"))
 
 
 add("s8_s9_s13_load", s8_s9_s13_load, "SELECT id, name, CAST(0 AS BIGINT) AS variables FROM fns")
