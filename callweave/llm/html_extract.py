@@ -8,7 +8,7 @@ remains is the text.
 
 Scale: pages are parsed twice. Between the passes only node statistics are shuffled, summed by (host, node), so that the largest host is not one task; per host
 there is one small merged tree, without texts. The list of noisy nodes goes to all tasks if it is at most ``broadcast_rows`` long; otherwise pages meet it by host and salt, so
-that a hot host is spread over SALTS tasks. A host's merged tree, of nodes and styles with their counts, is put together in one task.
+that a hot host is spread over SALTS tasks. A host's merged tree is put together in one task: the nodes that two pages at least share, with their styles' counts.
 """
 
 from __future__ import annotations
@@ -181,6 +181,7 @@ def _hash(*parts) -> int:
 
 
 ROOT_KEY = _hash("root")
+NO_CHILDREN = _hash("")
 
 
 def walk(root: Node):
@@ -246,19 +247,23 @@ def extracted(root: Node, noisy: frozenset) -> tuple[str, int, int]:
 
 
 def composite(nodes: pd.DataFrame, styles: pd.DataFrame, gamma: float, threshold: float) -> list[int]:
-    """Keys of the noisy nodes of one host; the root, of depth 0, is none. ``nodes``: key, parent, parent_style, depth, importance, n_styles, empty; ``styles``: key, sig, p."""
+    """Keys of the noisy nodes of one host; the root, of depth 0, is none. ``styles``: key, sig, p.
+
+    ``nodes``: key, parent, parent_style, depth, importance, n_styles, empty, singles. A row with ``singles`` stands for so many nodes below one style, which one page alone
+    has: their importance is 1, and nothing below them counts.
+    """
     share = {(k, s): p for k, s, p in zip(styles["key"], styles["sig"], styles["p"])}
-    below: dict[int, dict[int, list[float]]] = {}
+    below: dict[int, dict[int, list[tuple[float, int]]]] = {}
     holds: set[int] = set()  # nodes with something of importance below them
     noisy = []
     for r in nodes.sort_values(["depth", "key"], ascending=[False, True]).itertuples(index=False):
-        value = r.importance
+        value, n = r.importance, max(1, r.singles)
         if r.n_styles > 0:
             weight = gamma**r.n_styles
-            inner = math.fsum(share.get((r.key, sig), 0.0) * math.fsum(v) / len(v) for sig, v in sorted(below.pop(r.key, {}).items()))
+            inner = math.fsum(share.get((r.key, sig), 0.0) * math.fsum(x for x, _ in v) / sum(k for _, k in v) for sig, v in sorted(below.pop(r.key, {}).items()))
             value = (1 - weight) * value + weight * inner
         if r.depth > 0:
-            below.setdefault(r.parent, {}).setdefault(r.parent_style, []).append(value)
+            below.setdefault(r.parent, {}).setdefault(r.parent_style, []).append((value * n, n))
             if value < threshold and r.key not in holds:
                 noisy.append(r.key)
             elif not r.empty:
@@ -302,22 +307,23 @@ def noisy_nodes(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = G
     )
     # The root's null parent gets a number: with a null, pandas has the whole column as floats, which are too short for keys.
     above = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("parent", "parent_style")]
-    tree = nodes.where("host is not null").select(
-        "host", "key", *above, "depth", importance.alias("importance"), "n_styles", "shown", "styles", "m"
-    )
     # A style that has no children says nothing about importance below it: such elements (br, img) are leaves of importance 1.
-    tree = tree.withColumn("importance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "importance")))
+    leaf = (F.col("n_styles") > 0) & F.forall("styles", lambda s: s["sig"] == NO_CHILDREN)
+    value = F.when(leaf, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), importance)))
+    n_styles = F.when(leaf, 0).otherwise(F.col("n_styles")).cast("long")
+    every = nodes.where("host is not null").select("host", "key", *above, "depth", value.alias("importance"), n_styles.alias("n_styles"), "shown", "styles", "m", leaf.alias("empty"))
+    every = every.withColumns({"shown": F.coalesce("shown", F.lit(0).cast("long")), "singles": F.lit(0).cast("long")})
+    # Nodes of one page alone have importance 1, as all below them: those under a shared node are counted, the rest left out, so that a host's tree has what its pages share.
+    shared = checkpointed(every.where("m > 1"))
+    alone = every.where("m < 2 and depth > 0").groupBy("host", "parent", "parent_style", "depth").agg(F.count("*").alias("singles"), F.min("empty").alias("empty"))
+    alone = alone.join(shared.select("host", F.col("key").alias("parent")), ["host", "parent"], "left_semi")
+    zero = F.lit(0).cast("long")
+    alone = alone.select("host", zero.alias("key"), "parent", "parent_style", "depth", F.lit(1.0).alias("importance"), zero.alias("n_styles"), zero.alias("shown"), F.array().cast(shared.schema["styles"].dataType).alias("styles"), F.lit(1).cast("long").alias("m"), "empty", "singles")
+    tree = shared.unionByName(alone)
 
     def combine(key, pdf):
         flat = [(k, s["sig"], s["n"] / shown) for k, shown, ss in zip(pdf["key"], pdf["shown"], pdf["styles"]) for s in ss]
-        parents = set(pdf["parent"][pdf["depth"] > 0].tolist())
-        pdf = pdf.assign(
-            n_styles=[int(n) if k in parents else 0 for k, n in zip(pdf["key"], pdf["n_styles"])],
-            importance=[1.0 if k not in parents and n > 0 else x for k, n, x in zip(pdf["key"], pdf["n_styles"], pdf["importance"])],
-            empty=[k not in parents and n > 0 for k, n in zip(pdf["key"], pdf["n_styles"])],
-        )
-        alone = pdf["m"].max() < 2
-        noisy = [] if alone else composite(pdf.drop(columns=["styles", "shown", "m"]), pd.DataFrame(flat, columns=["key", "sig", "p"]), gamma, threshold)
+        noisy = composite(pdf.drop(columns=["styles", "shown", "m"]), pd.DataFrame(flat, columns=["key", "sig", "p"]), gamma, threshold)
         return pd.DataFrame({"host": [key[0]], "noisy": [noisy]})
 
     return tree.groupBy("host").applyInPandas(combine, "host string, noisy array<long>").where(F.size("noisy") > 0)

@@ -298,11 +298,13 @@ def plain_style_tree(pages, threshold, gamma):
     def composite(path):
         e = tree[path]
         m = len(e["pages"])
+        if m < 2:
+            return 1.0  # nothing to compare with, here and below
         if e["texts"]:
-            return 1.0 if m < 2 else 1 - sum(entropy(c.values(), m) for c in e["texts"].values()) / len(e["texts"])
+            return 1 - sum(entropy(c.values(), m) for c in e["texts"].values()) / len(e["texts"])
         if not e["kids"]:
             return 1.0
-        own = 1.0 if m < 2 else min(1.0, entropy(e["styles"].values(), m))
+        own = min(1.0, entropy(e["styles"].values(), m))
         weight = gamma ** len(e["styles"])
         return (1 - weight) * own + weight * sum(e["styles"][s] / e["styles"].total() * sum(map(composite, k)) / len(k) for s, k in e["kids"].items())
 
