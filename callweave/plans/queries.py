@@ -14,7 +14,7 @@ from callweave.operators import cookbook as K
 from callweave.operators import points as P
 from callweave.operators import resolve as R
 from callweave.operators import traverse as V
-from callweave.plans import source_queries
+from callweave.plans import render, source_queries
 from callweave.plans.derived import derived_graph, sql
 from callweave.plans.sources_from_parts import SQL as PLACED
 from callweave.plans.sources_from_parts import part_sources
@@ -22,6 +22,7 @@ from callweave.session import checkpointed
 from callweave.sources import scan
 from callweave.sources.schemas import EDGES, NODES
 from callweave.sources.store import CodeGraph, dangling_edges, duplicate_keys, export_edges
+from callweave.sources.synthetic import SHARES, generate, sample_graph
 from callweave.streaming.refresh import compare
 
 FILE, FILES, FUNCTION, WORD = "Brand#22", ["Brand#22", "Brand#2"], "red rod", "red"
@@ -214,6 +215,56 @@ add("v3_node_labels", lambda g: g["functions"].select("id", C.node_label("file",
 add("p1_relative_path", lambda g: g["files"].select("path", C.relative_path(F.concat(F.when(F.col("path").startswith("Brand"), "/root/").when(F.col("path").startswith("NATION"), "/rooted/").otherwise("/root"), "path"), "/root").alias("relative")), "SELECT path, CASE WHEN starts_with(path, 'Brand') THEN path WHEN starts_with(path, 'NATION') THEN '/rooted/' || path ELSE '/root' || path END AS relative FROM files")
 
 
+# Charts, line by line
+def _chart(make: Callable[[CodeGraph], str]) -> Callable[[CodeGraph], DataFrame]:
+    return lambda g: g.spark.createDataFrame([(line,) for line in make(g).split("\n")], "line string")
+
+
+def _chart_id(file: str, name: str) -> str:
+    return f"regexp_replace({file} || '_' || {name}, '[^0-9A-Za-z_]', '_', 'g')"
+
+
+def _chart_node(file: str, name: str, kind: str) -> str:
+    return f"'    ' || {_chart_id(file, name)} || '[\"' || {name} || '<br/>' || {file} || '\"]:::' || {kind}"
+
+
+_FOCUS = f"'{FILE}', '{FUNCTION}'"
+_STYLE_ROWS = ", ".join(f"('    {x}')" for x in render.STYLES)
+# A node that calls and is called is drawn as a caller, the greater word, and has both arrows.
+add(
+    "v1_function_chart", _chart(lambda g: render.function_chart(g, FILE, FUNCTION, 1)),
+    f"SELECT {_chart_node('file', 'name', 'kind')} AS line FROM (SELECT file, name, max(kind) AS kind FROM near GROUP BY ALL) UNION ALL SELECT DISTINCT CASE kind WHEN 'caller' THEN '    ' || {_chart_id('file', 'name')} || ' --> ' || focus ELSE '    ' || focus || ' --> ' || {_chart_id('file', 'name')} END FROM near, (SELECT {_chart_id(*_FOCUS.split(', '))} AS focus) WHERE (file, name) <> ({_FOCUS}) UNION ALL VALUES ('flowchart TD'), {_STYLE_ROWS}",
+    f"near AS (SELECT DISTINCT a.file, a.name, CASE WHEN (a.file, a.name) = ({_FOCUS}) THEN 'focus' ELSE 'caller' END AS kind FROM {hops('calls')} WHERE (b.file, b.name) = ({_FOCUS}) UNION SELECT b.file, b.name, CASE WHEN (b.file, b.name) = ({_FOCUS}) THEN 'focus' ELSE 'callee' END FROM {hops('calls')} WHERE (a.file, a.name) = ({_FOCUS}) UNION SELECT {_FOCUS}, 'focus')",
+)
+add(
+    "v2_module_chart", _chart(lambda g: render.module_chart(g, FILE)),
+    f"SELECT 'flowchart LR' AS line UNION ALL SELECT '    ' || {_chart_id('file', 'name')} || '[\"' || name || '<br/>' || file || ':' || start_line || '\"]' FROM functions WHERE file = '{FILE}' UNION ALL SELECT DISTINCT '    ' || {_chart_id('file', 'name')} || '(\"' || name || '<br/>' || file || '\")' FROM used WHERE file <> '{FILE}' UNION ALL SELECT '    ' || {_chart_id(repr(FILE), 'caller')} || ' --> ' || {_chart_id('file', 'name')} FROM used",
+    f"used AS (SELECT DISTINCT a.name AS caller, b.file, b.name FROM {hops('calls')} WHERE a.file = '{FILE}')",
+)
+
+# Generated graphs
+_N = SHARES
+_KEYED = "substr(md5('functions:' || {}), 1, 16)"
+
+
+def add_made(name: str, make: Callable[[SparkSession], DataFrame], query: str) -> None:
+    add_table(name, lambda spark, sf_dir: make(spark), query)
+
+
+add_made(
+    "s15_generated_functions", lambda spark: generate(spark)["functions"].select("id", "name", "file", "start_line", "end_line"),
+    f"SELECT {_KEYED.format('i')} AS id, 'func_' || i AS name, 'src/package_' || (i % {_N['files']}) % {_N['files'] // 20} || '/module_' || i % {_N['files']} || '.py' AS file, i * 7 % 500 + 1 AS start_line, i * 7 % 500 + 2 + i % 30 AS end_line FROM range({_N['functions']}) r(i)",
+)
+add_made(
+    "s15_generated_calls", lambda spark: generate(spark)["calls"].select("src", "dst"),
+    f"SELECT DISTINCT {_KEYED.format('i % ' + str(SHARES['functions']))} AS src, {_KEYED.format('(i + 1 + i % 37 + 42) % ' + str(SHARES['functions']))} AS dst FROM range({3 * _N['functions']}) r(i)",
+)
+add_made(
+    "s16_sample_calls", lambda spark: P.callees(sample_graph(spark), "/project/main.py", "func1"),
+    "SELECT * FROM (VALUES ('/project/utils.py', 'func2', 5::BIGINT), ('/project/utils.py', 'func3', 6::BIGINT)) v(file, name, call_line)",
+)
+
+
 # Extraction and resolution over whole texts
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.analyse(scan.from_texts(part_sources(spark.read.parquet(f"{sf_dir}/part.parquet"))))
