@@ -59,9 +59,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session(args.cpus)
     if args.command == "analyze":
         steps = Steps(spark)
-        with steps.step("analyze") as note:
-            done = analyze(spark, args.path, args.graph, excludes(tuple(args.include), tuple(args.exclude)), args.incremental, args.delete_missing, source_lines=args.source_lines)
-            note["rows"] = sum((done.get("status") or {"files": done.get("summary", {}).get("files", 0)}).values())
+        try:
+            with steps.step("analyze") as note:
+                done = analyze(spark, args.path, args.graph, excludes(tuple(args.include), tuple(args.exclude)), args.incremental, args.delete_missing, source_lines=args.source_lines)
+                note["rows"] = sum((done.get("status") or {"files": done.get("summary", {}).get("files", 0)}).values())
+        except FileNotFoundError as e:
+            print(f"no such folder: {e}", file=sys.stderr)
+            return 1
         print(text_table(["what", "n"], list((done.get("summary") or done["status"]).items())))
         print(text_table(["step", "time"], [(k, f"{v:.3f}s") for k, v in done["seconds"].items()]))
         print(steps.table())

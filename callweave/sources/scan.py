@@ -105,6 +105,9 @@ def _bytes_of(path: str) -> bytes | None:
 
 def scan_sources(spark: SparkSession, root: str, patterns: tuple[str, ...] = DEFAULT_EXCLUDES, glob: str = "*.py") -> DataFrame:
     """(file, content, modified): files below ``root`` whose path holds none of ``patterns``. Excluded files are never read; one that cannot be read has a null content."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(root)
     rows = read_files(listed(spark, root, patterns, glob))
     return rows.select(relative_path("path", qualified(spark, root)).alias("file"), "content", F.col("modificationTime").alias("modified"))
 

@@ -68,6 +68,7 @@ def test_bad_requests(capsys, folder, tmp_path):
     code, _, err = run(capsys, "--graph", folder, "trace", "pkg/util.py:one", "--variable", "LIMIT")
     assert code == 1 and err
     assert run(capsys, "--graph", str(tmp_path / "none"), "stats")[0] == 1
+    assert run(capsys, "--graph", str(tmp_path / "none"), "analyze", str(tmp_path / "nowhere"))[0] == 1 and not (tmp_path / "none").exists()
     with pytest.raises(SystemExit):
         cli.main(["--graph", folder, "fly"])
 
