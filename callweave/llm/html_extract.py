@@ -312,9 +312,9 @@ def noisy_nodes(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = G
     value = F.when(leaf, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), importance)))
     n_styles = F.when(leaf, 0).otherwise(F.col("n_styles")).cast("long")
     every = nodes.where("host is not null").select("host", "key", *above, "depth", value.alias("importance"), n_styles.alias("n_styles"), "shown", "styles", "m", leaf.alias("empty"))
-    every = every.withColumns({"shown": F.coalesce("shown", F.lit(0).cast("long")), "singles": F.lit(0).cast("long")})
+    every = checkpointed(every.withColumns({"shown": F.coalesce("shown", F.lit(0).cast("long")), "singles": F.lit(0).cast("long")}))  # read three times, parsed once
     # Nodes of one page alone have importance 1, as all below them: those under a shared node are counted, the rest left out, so that a host's tree has what its pages share.
-    shared = checkpointed(every.where("m > 1"))
+    shared = every.where("m > 1")
     alone = every.where("m < 2 and depth > 0").groupBy("host", "parent", "parent_style", "depth").agg(F.count("*").alias("singles"), F.min("empty").alias("empty"))
     alone = alone.join(shared.select("host", F.col("key").alias("parent")), ["host", "parent"], "left_semi")
     zero = F.lit(0).cast("long")
