@@ -1,4 +1,4 @@
-"""Headline queries, timed warm: one JSON line. Every query runs once before, and then REPEATS times, of which the median counts."""
+"""Headline queries, timed warm: one JSON line. Every query runs once before, untimed."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from callweave.sources.store import CodeGraph
 from callweave.sources.synthetic import generate
 
 HEADLINE = ("q1_5_5_most_called", "q1_5_6_dead_code", "q7_5_largest_classes", "q8_3_complex_classes", "q9_3c_edge_shares", "d3_file_complexity", "t1u_impact_upstream", "q1_5_4_call_depth", "a9_d5_statistics", "j2_resolve_calls", "x1_extract_functions")
-REPEATS = 3
+REPEATS = 1
 
 
 def timed(run, warm: bool = True) -> float:
