@@ -62,6 +62,36 @@ def test_quality_rules(spark):
         quality_rules.quality_rules(df.withColumn("doc_id", F.lit("a")), lab)
 
 
+@pytest.mark.parametrize("bits", [None, (64, 128)])
+def test_quality_rules_take_every_trusted_document(spark, bits, monkeypatch):
+    """More trusted ids than any sample had, also where the filter of ids is so full that it rules nothing out."""
+    if bits:
+        monkeypatch.setattr(quality_rules, "FILTER_BITS", bits)
+    rng = random.Random(8)
+    rows = [(i * 7919, " ".join(rng.choices(["good", "fine", "text", "well"] if i % 10 else ["spam", "buy", "now", "text"], k=rng.randint(1, 6)))) for i in range(23_000)]
+    labels = [(i, 1, 0) for i, _ in rows[:21_500]] + [(i, 0, 0) for i, _ in rows[21_500:22_000]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = plain_scores(rows, {i for i, q, _ in labels if q}, 512)
+    value = sorted(s / n / 1e6 for (i, s, n), (_, q, _) in zip(scores, labels) if q)
+    least = value[int(0.05 * (len(value) - 1))]
+    want = sorted((i, s, n) for i, s, n in scores if s / n / 1e6 >= least)
+    got = quality_rules.quality_rules(df, lab, buckets=512, held_out=0.05).collect()
+    assert sorted((r.doc_id, r.llr_micro, r.n_grams) for r in got) == want and 0 < len(want) < len(rows)
+    kept = quality_rules.quality_rules(df, lab, buckets=512, held_out=0.05, score=False).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, _, _ in want]
+
+
+@pytest.mark.parametrize("n", [0, 7, 100, 198, 199])
+def test_nth_smallest_score(spark, n, monkeypatch):
+    """Narrowed down by bins, with scores that repeat."""
+    monkeypatch.setattr(quality_rules, "LISTED", 3)
+    monkeypatch.setattr(quality_rules, "BINS", 4)
+    rng = random.Random(9)
+    values = [rng.choice([0.1, -2.5, rng.random(), rng.random() * 1e-9]) for _ in range(200)]
+    assert quality_rules.nth_smallest(spark.createDataFrame([(v,) for v in values], "score double"), n) == sorted(values)[n]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_clean_documents_stay_at_every_size(spark, sf):
     read = lambda t: spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet")
