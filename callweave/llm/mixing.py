@@ -9,7 +9,7 @@ taken with a chance in proportion to the part of it that fits, by a seeded numbe
 
 Scale: only ids, sources and token counts are shuffled and sorted, by (source, shard), so that a hot source is spread over all shards, whose
 number grows with the rows. Quotas of sources are found in closed form from one aggregate per source; quotients of shards number about ``n_blocks``, plus one
-per shard. Texts move once, when documents are joined with the selected ids.
+per shard. Texts move once, when documents are joined with the selected ids, of which a hash table is made in each task, so that texts pass by and are never sorted.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def mixing_plan(
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The documents that mixing_plan() selects, with all their columns, whatever their names. See there for nulls, ties and repeated rows."""
     taken = mixing_plan(docs, weights, id_col=id_col, text_col=text_col, source_col=source_col, **params).select("unit")
-    return unpacked(packed(docs, unit=unit_of(docs, id_col, text_col)).join(taken, "unit", "left_semi"))
+    return unpacked(packed(docs, unit=unit_of(docs, id_col, text_col)).join(taken.hint("shuffle_hash"), "unit", "left_semi"))
 
 
 def mixing_shares(docs: DataFrame, plan: DataFrame, weights: dict[str, float] | None = None, others: float = OTHERS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -144,6 +145,12 @@ def test_mix_sources(spark, docs):
     assert mixing.mix_sources(words, {"a": 2.0}).columns == words.columns and mixing.mix_sources(words, {"a": 2.0}).count() > 0
 
 
+def test_texts_are_not_sorted_to_be_taken(spark, docs):
+    """Pages of sorted texts in every task took an executor's memory: selected ids are hashed, and texts pass by them."""
+    plan = mixing.mix_sources(docs, {"a": 2.0}, n_blocks=600, n_shards=3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ShuffledHashJoin .*LeftSemi, BuildRight", plan) and not re.search(r"SortMergeJoin .*LeftSemi", plan)
+
+
 def test_best_fit():
     bins, starts = packing.best_fit_decreasing(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and starts.tolist() == [0, 0, 6, 5, 8]
