@@ -216,10 +216,6 @@ add("p1_relative_path", lambda g: g["files"].select("path", C.relative_path(F.co
 
 
 # Charts, line by line
-def _chart(make: Callable[[CodeGraph], str]) -> Callable[[CodeGraph], DataFrame]:
-    return lambda g: g.spark.createDataFrame([(line,) for line in make(g).split("\n")], "line string")
-
-
 def _chart_id(file: str, name: str) -> str:
     return f"regexp_replace({file} || '_' || {name}, '[^0-9A-Za-z_]', '_', 'g')"
 
@@ -232,12 +228,12 @@ _FOCUS = f"'{FILE}', '{FUNCTION}'"
 _STYLE_ROWS = ", ".join(f"('    {x}')" for x in render.STYLES)
 # A node that calls and is called is drawn as a caller, the greater word, and has both arrows.
 add(
-    "v1_function_chart", _chart(lambda g: render.function_chart(g, FILE, FUNCTION, 1)),
+    "v1_function_chart", lambda g: render.function_chart_lines(g, FILE, FUNCTION, 1),
     f"SELECT {_chart_node('file', 'name', 'kind')} AS line FROM (SELECT file, name, max(kind) AS kind FROM near GROUP BY ALL) UNION ALL SELECT DISTINCT CASE kind WHEN 'caller' THEN '    ' || {_chart_id('file', 'name')} || ' --> ' || focus ELSE '    ' || focus || ' --> ' || {_chart_id('file', 'name')} END FROM near, (SELECT {_chart_id(*_FOCUS.split(', '))} AS focus) WHERE (file, name) <> ({_FOCUS}) UNION ALL VALUES ('flowchart TD'), {_STYLE_ROWS}",
     f"near AS (SELECT DISTINCT a.file, a.name, CASE WHEN (a.file, a.name) = ({_FOCUS}) THEN 'focus' ELSE 'caller' END AS kind FROM {hops('calls')} WHERE (b.file, b.name) = ({_FOCUS}) UNION SELECT b.file, b.name, CASE WHEN (b.file, b.name) = ({_FOCUS}) THEN 'focus' ELSE 'callee' END FROM {hops('calls')} WHERE (a.file, a.name) = ({_FOCUS}) UNION SELECT {_FOCUS}, 'focus')",
 )
 add(
-    "v2_module_chart", _chart(lambda g: render.module_chart(g, FILE)),
+    "v2_module_chart", lambda g: render.module_chart_lines(g, FILE),
     f"SELECT 'flowchart LR' AS line UNION ALL SELECT '    ' || {_chart_id('file', 'name')} || '[\"' || name || '<br/>' || file || ':' || start_line || '\"]' FROM functions WHERE file = '{FILE}' UNION ALL SELECT DISTINCT '    ' || {_chart_id('file', 'name')} || '(\"' || name || '<br/>' || file || '\")' FROM used WHERE file <> '{FILE}' UNION ALL SELECT '    ' || {_chart_id(repr(FILE), 'caller')} || ' --> ' || {_chart_id('file', 'name')} FROM used",
     f"used AS (SELECT DISTINCT a.name AS caller, b.file, b.name FROM {hops('calls')} WHERE a.file = '{FILE}')",
 )

@@ -1,16 +1,22 @@
-"""Mermaid flow charts of a function's neighbourhood or a module. Only the rows of one small diagram come to the driver."""
+"""Mermaid flow charts of a function's neighbourhood or a module.
+
+As a text a chart is small: only its rows come to the driver, and one of too many rows is refused. As a table of lines it may have any size and stays distributed.
+"""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions import columns as C
 from callweave.operators.match import hop
 from callweave.operators.points import functions_in_file
 from callweave.operators.traverse import impact
+from callweave.session import checkpointed
 from callweave.sources.store import CodeGraph
 
 #: A chart of more rows than this is refused: nobody could read it, and it would have to come to the driver.
@@ -76,6 +82,40 @@ def module_chart(graph: CodeGraph, file, include_imports=True, max_rows: int = M
     return "\n".join(lines)
 
 
+def _label(file: str, function: str, line: str | None = None) -> Column:
+    """label(), as a column."""
+    place = C.base_name(file) if line is None else F.concat(C.base_name(file), F.lit(":"), F.col(line).cast("string"))
+    return F.concat(F.lit('"'), function, F.lit("<br/>"), place, F.lit('"'))
+
+
+def _line(*parts: str | Column) -> Column:
+    return F.concat(F.lit("    "), *[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("line")
+
+
+def function_chart_lines(graph: CodeGraph, file: str, function: str, max_depth: int = 3) -> DataFrame:
+    """(line) of function_chart(), in no order and of any number. Functions whose names differ have a line each, also where the chart's ids are the same."""
+    spark = graph.spark
+    near = checkpointed(impact(graph, file, function, "both", max_depth).select("file", F.col("function").alias("name"), F.col("type").alias("kind")).distinct())
+    is_focus = (F.col("file") == file) & (F.col("name") == function)
+    focus = spark.createDataFrame([(file, function, "focus")], "file string, name string, kind string")
+    # Of several kinds the greatest word is drawn: the focus before callers, and those before callees.
+    nodes = near.unionByName(focus).groupBy("file", "name").agg(F.max("kind").alias("kind"))
+    here, there = F.lit(node_id(file, function)), C.node_label("file", "name")
+    arrows = near.where(~is_focus).select(F.when(F.col("kind") == "caller", _line(there, " --> ", here)).otherwise(_line(here, " --> ", there)).alias("line")).distinct()
+    fixed = spark.createDataFrame([("flowchart TD",), *((f"    {x}",) for x in STYLES)], "line string")
+    drawn = F.when(is_focus, "focus").otherwise(F.col("kind"))
+    return reduce(DataFrame.unionByName, [fixed, nodes.select(_line(there, "[", _label("file", "name"), "]:::", drawn)), arrows])
+
+
+def module_chart_lines(graph: CodeGraph, file: str) -> DataFrame:
+    """(line) of module_chart(), in no order and of any number; of a file without functions the first line alone."""
+    own = functions_in_file(graph, file).select(_line(C.node_label("file", "name"), "[", _label("file", "name", "start_line"), "]"))
+    used = checkpointed(hop(graph, "calls").where(F.col("a_file") == file).select("a_file", "a_name", "b_file", "b_name").distinct())
+    outside = used.where(F.col("b_file") != file).select("b_file", "b_name").distinct().select(_line(C.node_label("b_file", "b_name"), "(", _label("b_file", "b_name"), ")"))
+    arrows = used.select(_line(C.node_label("a_file", "a_name"), " --> ", C.node_label("b_file", "b_name")))
+    return reduce(DataFrame.unionByName, [graph.spark.createDataFrame([("flowchart LR",)], "line string"), own, outside, arrows])
+
+
 def save(chart: str, path: str) -> None:
     """The chart as a fenced block, ready for Markdown."""
     with open(path, "w", encoding="utf-8") as f:

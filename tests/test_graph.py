@@ -11,7 +11,7 @@ from callweave.operators import cookbook as K
 from callweave.operators import mutate as W
 from callweave.operators import points as P
 from callweave.operators.traverse import call_components, cycles, impact, impact_table, levels, min_depth, neighbourhood, reach
-from callweave.plans.render import function_chart, module_chart, node_id, save
+from callweave.plans.render import MAX_ROWS, function_chart, function_chart_lines, module_chart, module_chart_lines, node_id, save
 from callweave.sources.schemas import TABLES
 from callweave.sources.store import CodeGraph, ReadOnlyError, check_unique, conform, dangling_edges, export_summary, load_statistics, read_table
 from callweave.sources.synthetic import generate, sample_graph
@@ -210,6 +210,19 @@ def test_mutations(spark, g):
     assert g.cleared()["decorators"].count() == 0
 
 
+def test_chart_lines(spark, g):
+    """The same lines as the text's; a chart of more rows than a text may have comes whole."""
+    lines = lambda df: sorted(r.line for r in df.collect())
+    assert lines(function_chart_lines(g, "/project/utils.py", "func2")) == sorted(function_chart(g, "/project/utils.py", "func2").split("\n"))
+    assert lines(module_chart_lines(g, "/project/main.py")) == sorted(module_chart(g, "/project/main.py").split("\n"))
+    n = MAX_ROWS + 500
+    large = graph_of(spark, [("hub", f"f{i}", i) for i in range(n)])
+    with pytest.raises(ValueError):
+        module_chart(large, "f.py")
+    assert len(lines(module_chart_lines(large, "f.py"))) == 1 + n + 1 + n
+    assert len(lines(function_chart_lines(large, "f.py", "nhub", 1))) == 1 + 3 + n + 1 + n
+
+
 def test_charts(g, tmp_path):
     text = function_chart(g, "/project/utils.py", "func2")
     assert "main_func1 --> utils_func2" in text and "utils_func2 --> utils_func4" in text
