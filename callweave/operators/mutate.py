@@ -103,7 +103,10 @@ def add_modules(graph: CodeGraph, rows: DataFrame) -> CodeGraph:
 
 
 def add_calls(graph: CodeGraph, rows: DataFrame) -> CodeGraph:
-    """(caller_file, caller, caller_start_line, callee_file, callee, callee_start_line, call_line)."""
+    """(caller_file, caller, caller_start_line, callee_file, callee, callee_start_line, call_line), or (src, dst, call_line), where the keys are known: then there are no keys to make for
+    each call, and ends can be looked up before calls are multiplied."""
+    if "src" in rows.columns and "dst" in rows.columns:
+        return add_edges(graph, "calls", rows)
     src, dst = C.function_key("caller_file", "caller", "caller_start_line"), C.function_key("callee_file", "callee", "callee_start_line")
     return add_edges(graph, "calls", rows.select(src.alias("src"), dst.alias("dst"), "call_line"))
 

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import columns as C
-from callweave.sources.scan import module_info, records
+from callweave.sources.scan import first_parts, module_info, records
 from callweave.sources.store import CodeGraph, conform
 
 
+#: Functions of one name that meet a call in one task.
+BLOCK = 1024
+
+
 def first_by(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """One row per key: the first in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -20,17 +24,36 @@ def first_by(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """(caller_file, caller, caller_start_line, callee_file, callee, callee_start_line, call_line).
+    """(caller_file, caller, caller_start_line, callee_file, callee, callee_start_line, call_line), and (src, dst) where functions have an ``id``.
 
-    A call matches every function of its file named as the caller, and every function of any file named as called. Unknown names drop
-    out. The second join is by name alone, so common names fan out; adaptive execution splits such keys. Calls of names that no
-    function has are dropped by the join itself, before anything is multiplied.
+    A call matches every function of its file named as the caller, and every function of any file named as called. Unknown names drop out.
+
+    The result is as large as the product of both, so what is multiplied is not shuffled again: a call is counted on both sides first, meets the side with fewer matches, and then
+    the other in the last join. There a name's functions come in blocks of at most about BLOCK, and a call is sent to each of them, so no task has all pairs of a common name.
+    The columns of either end are those of its function, and not of the call: a filter on an end, as a semi join is, goes before the multiplication.
     """
-    a = functions.select(F.col("file").alias("caller_file"), F.col("name").alias("caller"), F.col("start_line").alias("caller_start_line"))
-    b = functions.select(F.col("file").alias("callee_file"), F.col("name").alias("callee"), F.col("start_line").alias("callee_start_line"))
-    c = calls.select(F.col("file").alias("caller_file"), F.col("caller_function").alias("caller"), F.col("called_name").alias("callee"), "call_line")
-    rows = c.join(a, ["caller_file", "caller"]).join(b, "callee")
-    return rows.select("caller_file", "caller", "caller_start_line", "callee_file", "callee", "callee_start_line", "call_line")
+    keys = ["id"] if "id" in functions.columns else []
+    rows = functions.select("file", "name", "start_line", *keys)
+
+    def side(role: str, end: str, by: list[str]) -> DataFrame:
+        """One end's columns, and the block among those of the same ``by``."""
+        blocks = F.ceil(F.count("*").over(Window.partitionBy(*by)) / BLOCK)
+        df = rows.withColumn(f"{role}_block", F.pmod(F.xxhash64("file", "start_line"), blocks))
+        return df.select(F.col("file").alias(f"{role}_file"), F.col("name").alias(role), F.col("start_line").alias(f"{role}_start_line"), *[F.col(k).alias(end) for k in keys], f"{role}_block")
+
+    a, b = side("caller", "src", ["file", "name"]), side("callee", "dst", ["name"])
+    c = calls.select(F.col("file").alias("at_file"), F.col("caller_function").alias("at"), F.col("called_name").alias("called"), "call_line")
+    c = c.join(rows.groupBy(F.col("file").alias("at_file"), F.col("name").alias("at")).agg(F.count("*").alias("callers")), ["at_file", "at"])
+    c = c.join(rows.groupBy(F.col("name").alias("called")).agg(F.count("*").alias("callees")), "called")
+
+    def sent(df: DataFrame, matches: str) -> DataFrame:
+        return df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(matches) / BLOCK) - 1)))
+
+    is_caller, is_callee = (F.col("at_file") == F.col("caller_file")) & (F.col("at") == F.col("caller")), F.col("called") == F.col("callee")
+    callers_last = sent(c.where("callees <= callers").join(b, is_callee), "callers").join(a, is_caller & (F.col("block") == F.col("caller_block")))
+    callees_last = sent(c.where("callees > callers").join(a, is_caller), "callees").join(b, is_callee & (F.col("block") == F.col("callee_block")))
+    out = ["caller_file", "caller", "caller_start_line", "callee_file", "callee", "callee_start_line", "call_line", *(["src", "dst"] if keys else [])]
+    return callers_last.select(*out).unionByName(callees_last.select(*out))
 
 
 def containing_function(points: DataFrame, functions: DataFrame, line: str = "line") -> DataFrame:
@@ -62,10 +85,9 @@ def inherits_edges(classes: DataFrame, scope: str = "file") -> DataFrame:
 def build_graph(analysis: DataFrame, inherits_scope: str = "file") -> CodeGraph:
     """The whole graph of an analysis (scan.analyse(), best checkpointed or written first: every table reads it)."""
     spark = analysis.sparkSession
-    files = analysis.select(F.col("file").alias("path"), F.lit("python").alias("language"), "content_hash")
+    files = first_parts(analysis).select(F.col("file").alias("path"), F.lit("python").alias("language"), "content_hash")
 
-    raw_functions = first_by(records(analysis, "functions"), ["file", "name", "start_line"], "ord")
-    functions = raw_functions.withColumn("id", C.function_key())
+    functions = first_by(records(analysis, "functions"), ["file", "name", "start_line"], "ord").withColumn("id", C.function_key())
     classes = first_by(records(analysis, "classes"), ["file", "name", "start_line"], "ord").withColumn("id", C.class_key())
     variables = first_by(records(analysis, "variables"), ["file", "name", "definition_line", "scope"], "ord").withColumn("id", C.variable_key())
     imports = first_by(records(analysis, "imports_detailed"), ["file", "imported_name", "line_number"], "ord").withColumn("id", C.import_key())
@@ -81,10 +103,7 @@ def build_graph(analysis: DataFrame, inherits_scope: str = "file") -> CodeGraph:
     first_attribute = first_by(attributes, ["file", "class_name", "name"], "ord").select("file", "class_name", "name", F.col("id").alias("dst"))
     last_exception = first_by(exceptions, ["file", "name", "line_number"], F.col("ord").desc()).select("file", "name", "line_number", F.col("id").alias("dst"))
 
-    resolved = resolve_calls(records(analysis, "calls"), raw_functions)
-    calls = resolved.select(
-        C.function_key("caller_file", "caller", "caller_start_line").alias("src"), C.function_key("callee_file", "callee", "callee_start_line").alias("dst"), "call_line"
-    )
+    calls = resolve_calls(records(analysis, "calls"), functions).select("src", "dst", "call_line")
     method_of = functions.where("parent_class is not null").select(F.col("id").alias("src"), "file", F.col("parent_class").alias("class_name")).join(first_class, ["file", "class_name"]).select("src", F.col("class_id").alias("dst"))
     used = records(analysis, "usages").join(first_function, ["file", "function_name"]).join(first_variable, ["file", "variable_name"])
     uses = used.select("src", "dst", F.col("usage_line").alias("line_number"), F.lit("use").alias("context"))

@@ -263,7 +263,7 @@ add_made(
 
 # Extraction and resolution over whole texts
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.analyse(scan.from_texts(part_sources(spark.read.parquet(f"{sf_dir}/part.parquet"))))
+    return scan.analyse(scan.spread(scan.from_texts(part_sources(spark.read.parquet(f"{sf_dir}/part.parquet")))))
 
 
 def x1_extract_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,7 @@ def x16_analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s3_documents_as_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose is no Python: every document keeps its row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), "text")
-    return scan.analyse(scan.from_texts(docs)).select("file", "content_hash")
+    return scan.first_parts(scan.analyse(scan.from_texts(docs))).select("file", "content_hash")
 
 
 def s213_refresh_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,12 +29,18 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.analyse(scan.from_texts(sources(spark, sf_dir)))
+    return scan.analyse(scan.spread(scan.from_texts(sources(spark, sf_dir))))
 
 
 def graph(spark: SparkSession, sf_dir: str, scope: str = "file") -> CodeGraph:
     """One parse, however many tables read it."""
-    return R.build_graph(checkpointed(analysis(spark, sf_dir)), scope)
+    return graph_and_analysis(spark, sf_dir, scope)[0]
+
+
+def graph_and_analysis(spark: SparkSession, sf_dir: str, scope: str = "file") -> tuple[CodeGraph, DataFrame]:
+    """The graph, and the parsed records that it was made from."""
+    parsed = checkpointed(analysis(spark, sf_dir))
+    return R.build_graph(parsed, scope), parsed
 
 
 def _with(query: str, more: str = "") -> str:
@@ -94,11 +100,16 @@ add("x15_modules", lambda spark, sf_dir: scan.module_info(checkpointed(analysis(
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The modules with a line of nonsense after each class: every file has an error, and every definition but the class-level rest can be read."""
     texts = sources(spark, sf_dir).select("file", F.replace("text", F.lit("\ndef make_"), F.lit("\nthis is no ( code\ndef make_")).alias("text"))
-    return scan.analyse(scan.from_texts(texts))
+    return scan.analyse(scan.spread(scan.from_texts(texts)))
+
+
+def s5_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = {"errors": "errors", "functions": "functions", "classes": "classes", "imports": "imports_detailed"}
+    return broken(spark, sf_dir).groupBy("file").agg(*[F.sum(F.size(c)).cast("int").alias(name) for name, c in sizes.items()])
 
 
 add(
-    "s5_broken_files", lambda spark, sf_dir: broken(spark, sf_dir).select("file", F.size("errors").alias("errors"), F.size("functions").alias("functions"), F.size("classes").alias("classes"), F.size("imports_detailed").alias("imports")),
+    "s5_broken_files", s5_broken_files,
     "SELECT file, 1 AS errors, CAST(4 * count(*) AS INTEGER) AS functions, CAST(count(*) AS INTEGER) AS classes, 4 AS imports FROM blocks GROUP BY file UNION ALL SELECT path, 0, 0, 0, 0 FROM mods WHERE is_package",
 )
 add(
@@ -250,8 +261,8 @@ _NEW = "SELECT file, name, start_line, end_line FROM fns"
 
 def _functions(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, DataFrame]:
     """The graph without functions, and its functions as rows for an upsert."""
-    g = graph(spark, sf_dir)
-    rows = scan.records(analysis(spark, sf_dir), "functions").select("name", "file", "start_line", "end_line", "is_public", "source_code", "parent_class")
+    g, parsed = graph_and_analysis(spark, sf_dir)
+    rows = scan.records(parsed, "functions").select("name", "file", "start_line", "end_line", "is_public", "source_code", "parent_class")
     empty = g["functions"].limit(0)
     return g.replaced(functions=empty, contains_function=g["contains_function"].limit(0), method_of=g["method_of"].limit(0)), rows
 
@@ -268,8 +279,8 @@ add("c1_method_of", lambda spark, sf_dir: c1_upsert(spark, sf_dir)["method_of"],
 
 
 def c2_upsert(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    g = graph(spark, sf_dir)
-    rows = scan.records(analysis(spark, sf_dir), "variables").select("name", "file", "definition_line", "scope")
+    g, parsed = graph_and_analysis(spark, sf_dir)
+    rows = scan.records(parsed, "variables").select("name", "file", "definition_line", "scope")
     g = g.replaced(variables=g["variables"].limit(0), contains_variable=g["contains_variable"].limit(0))
     return W.add_variables(W.add_variables(g, rows), rows.where("scope = 'module'"))
 
@@ -280,8 +291,8 @@ add("c2_contains_variable", lambda spark, sf_dir: c2_upsert(spark, sf_dir)["cont
 
 def c3_upsert(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """All classes twice; bases meet classes of any file."""
-    g = graph(spark, sf_dir)
-    rows = scan.records(analysis(spark, sf_dir), "classes").select("name", "file", "start_line", "end_line", "bases", "is_public", "source_code")
+    g, parsed = graph_and_analysis(spark, sf_dir)
+    rows = scan.records(parsed, "classes").select("name", "file", "start_line", "end_line", "bases", "is_public", "source_code")
     g = g.replaced(**{t: g[t].limit(0) for t in ("classes", "contains_class", "inherits")})
     return W.add_classes(W.add_classes(g, rows), rows.withColumn("end_line", F.col("start_line")))
 
@@ -322,8 +333,8 @@ add("c6_has_attribute", lambda spark, sf_dir: c6_upsert(spark, sf_dir)["has_attr
 
 def c7_upsert(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """Every handled exception again (same key), without context (another key); every package with another docstring; every package's file changed."""
-    g = graph(spark, sf_dir)
-    records = scan.records(analysis(spark, sf_dir), "exceptions").select("name", "file", "line_number", "context", "function_name")
+    g, parsed = graph_and_analysis(spark, sf_dir)
+    records = scan.records(parsed, "exceptions").select("name", "file", "line_number", "context", "function_name")
     g = W.add_exceptions(W.add_exceptions(g, records.where("context = 'catch'")), records.where("name = 'ValueError'").select("name", "file", "line_number"))
     g = W.add_modules(g, g["modules"].where("is_package").drop("id").withColumn("docstring", F.lit("changed")))
     return W.add_files(g, g["files"].where(F.col("path").endswith("__init__.py")).withColumn("content_hash", F.lit("0")))
@@ -368,11 +379,11 @@ add("c8_delete_files", c8_delete_files, " UNION ALL ".join(f"SELECT '{t}' AS \"t
 
 def c9_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of five kinds added to a graph without any, each kind with as many more whose end is missing."""
-    g = graph(spark, sf_dir)
+    g, parsed = graph_and_analysis(spark, sf_dir)
     bare = g.replaced(**{t: g[t].limit(0) for t in ("calls", "handles_exception", "accesses", "depends_on", "references")})
     lost = lambda df: df.unionByName(df.withColumn("dst", F.lit("gone")))
-    calls = R.resolve_calls(scan.records(analysis(spark, sf_dir), "calls"), scan.records(analysis(spark, sf_dir), "functions"))
-    out = W.add_calls(bare, calls.unionByName(calls.withColumn("callee", F.lit("gone"))))
+    calls = R.resolve_calls(scan.records(parsed, "calls"), scan.records(parsed, "functions").withColumn("id", C.function_key()))
+    out = W.add_calls(bare, lost(calls))
     out = W.add_exception_handling(out, lost(g["handles_exception"]))
     out = W.add_attribute_access(out, lost(g["accesses"]))
     pairs = g["inherits"].select("src", "dst", F.lit("inheritance").alias("dependency_type"), F.lit(1).alias("line_number"))

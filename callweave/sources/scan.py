@@ -1,4 +1,4 @@
-"""Scanning a source tree and parsing it once into nested records, one row a file."""
+"""Scanning a source tree and parsing it once into nested records, one row a file, or several of a long one."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from callweave.functions.columns import parent_directory, relative_path
 from callweave.session import checkpointed, importable
-from callweave.sources.pyparse import KINDS, analyse_bytes, analysis_ddl
+from callweave.sources.pyparse import KINDS, PIECE, analysis_ddl, parts_of_bytes
 
 DEFAULT_EXCLUDES = ("__pycache__", ".venv", "venv", ".git", "node_modules", "build", "dist", ".egg-info")
 #: Files parsed per Arrow batch: source texts are small, syntax trees are not.
@@ -133,22 +133,43 @@ def from_texts(df: DataFrame, file: str = "file", text: str = "text") -> DataFra
     return df.select(F.col(file).alias("file"), F.col(text).cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("modified"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """The files over several times as many tasks as run at once. Adaptive execution puts a few long texts into one task, as they are few bytes; parsing them takes long."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file")
+
+
 def analyse(files: DataFrame, compat: bool = False, source_lines: int | None = None) -> DataFrame:
-    """One row per file with all its records, parsed in Arrow batches. A file that cannot be read as Python keeps its row, with ``errors``."""
+    """Rows with all records of a file, parsed in Arrow batches. A file that cannot be read as Python keeps its row, with ``errors``.
+
+    A long file has a row for each of its pieces (``part``, from 0), and all of them its hash; see first_parts(). One piece at a time is held, so memory does not grow with the records of a file.
+    """
     importable(files.sparkSession)
     ddl = analysis_ddl()
     inner = to_arrow_schema(StructType.fromDDL(ddl))
 
     def parse(batches):
+        rows, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH).to_pylist()
-                rows = [{"file": r["file"], "content_hash": r["content_hash"]} | analyse_bytes(r["content"], compat, source_lines) for r in part]
-                yield pa.RecordBatch.from_pylist(rows, schema=inner)
+            for i in range(batch.num_rows):
+                file, content, content_hash = (batch.column(c)[i].as_py() for c in range(3))
+                size += len(content or b"")
+                for r in parts_of_bytes(content, compat, source_lines):
+                    rows.append({"file": file, "content_hash": content_hash} | r)
+                    if size >= PIECE or len(rows) >= BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=inner)
+                        rows = []
+                size = size if rows else 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=inner)
 
     return files.select("file", "content", F.sha2("content", 256).alias("content_hash")).mapInArrow(parse, ddl)
 
 
+def first_parts(analysis: DataFrame) -> DataFrame:
+    """One row per file. An analysis that was stored before long files had several has no other rows."""
+    return analysis.where("part = 0") if "part" in analysis.columns else analysis
+
+
 def records(analysis: DataFrame, kind: str) -> DataFrame:
     """One kind's records, flat, with their file."""
     names = [f.split(":")[0] for f in KINDS[kind].split()]
@@ -160,7 +181,7 @@ def module_info(analysis: DataFrame) -> DataFrame:
 
     The list of package directories is exploded per file by its ancestors and joined, so nothing grows on the driver.
     """
-    files = analysis.select("file", "docstring")
+    files = first_parts(analysis).select("file", "docstring")
     packages = files.where(F.element_at(F.split("file", "/"), -1) == "__init__.py").select(parent_directory("file").alias("dir")).distinct()
     parts = F.split(parent_directory("file"), "/")
     depth = F.when(parent_directory("file") == "", 0).otherwise(F.size(parts))
@@ -181,4 +202,7 @@ def module_info(analysis: DataFrame) -> DataFrame:
 
 def summary(analysis: DataFrame) -> DataFrame:
     """One row: files, files with errors, and the number of records of each kind."""
-    return analysis.agg(F.count("*").alias("files"), F.count_if(F.size("errors") > 0).alias("files_with_errors"), *[F.coalesce(F.sum(F.size(k)), F.lit(0)).alias(k) for k in KINDS])
+    first = F.col("part") == 0 if "part" in analysis.columns else F.lit(True)
+    return analysis.agg(
+        F.count_if(first).alias("files"), F.count_distinct(F.when(F.size("errors") > 0, F.col("file"))).alias("files_with_errors"), *[F.coalesce(F.sum(F.size(k)), F.lit(0)).alias(k) for k in KINDS]
+    )

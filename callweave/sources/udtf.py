@@ -14,10 +14,11 @@ class PyFunctions:
     """One row per function of a Python text. A null text has none, of a broken one those that can be read are given."""
 
     def eval(self, text: str):
-        from callweave.sources.pyparse import analyse_text
+        from callweave.sources.pyparse import functions, pieces
 
-        for r in analyse_text(text or "")["functions"]:
-            yield r["name"], r["start_line"], r["end_line"], r["is_public"], r["parent_class"]
+        for f in pieces(text or ""):
+            for r in functions(f):
+                yield r["name"], f.base + r["start_line"], f.base + r["end_line"], r["is_public"], r["parent_class"]
 
 
 def registered(spark: SparkSession) -> SparkSession:

@@ -39,6 +39,8 @@ def refresh(graph: CodeGraph, files: DataFrame, analysis_store: DataFrame | None
     gone = status.where(F.col("status").isin(leaving)).select("path")
     if analysis_store is None:
         return merged(delete_files(graph, gone), build_graph(analysis)), status, analysis
+    if "part" not in analysis_store.columns:  # stored before long files had several rows
+        analysis_store = analysis_store.withColumn("part", F.lit(0))
     whole = analysis_store.join(gone.withColumnRenamed("path", "file"), "file", "left_anti").select(*analysis.columns).unionByName(analysis)
     return build_graph(whole), status, whole
 

@@ -4,10 +4,13 @@ import json
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
+from callweave.operators import resolve
 from callweave.operators.resolve import build_graph, containing_function, inherits_edges
 from callweave.plans.analyze import analyze
 from callweave.session import checkpointed
+from callweave.sources import pyparse
 from callweave.sources.pyparse import _File, analyse_bytes, analyse_text
 from callweave.sources.scan import analyse, excludes, from_texts, scan_sources, summary
 from callweave.sources.store import CodeGraph, check_unique, dangling_edges
@@ -199,6 +202,34 @@ def test_a_broken_line_costs_its_statement_alone(cut):
         assert [strip(r) for r in broken[kind]] == [strip(r) for r in whole[kind]], kind
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    """Whatever the size of a piece, the records are those of the text read at once, and a tree holds a few statements."""
+    odd = '"""Doc\ndef no(): pass\n"""\nx = (\n1,\n2)\ny = """\ndef f(): pass\n"""; z = 1\n\x0cw = 1 + \\\n2\nif x:\n    pass\n# note\nelse:\n    pass\n@d\n# note\n@e\ndef g():\n    return """\nend"""\ntry:\n    g()\nexcept KeyError: raise\n'
+    mixed = odd.replace("\n", "\r\n") + odd
+    texts = [SHAPES * 3, odd, mixed, "# only\n" * 9 + odd, BROKEN, odd + BROKEN * 2, SHAPES + "def open(:\n" + odd, odd + "x = (\n" + SHAPES, odd + "y = '''\n" + SHAPES, odd + "a\0b", "", "\n" * 99, odd + "if x:"]
+    whole = [(analyse_text(t), analyse_text(t, compat=True, source_lines=1)) for t in texts]
+    for size in (1, 7, 40, 90, 200):
+        monkeypatch.setattr(pyparse, "PIECE", size)
+        for text, (a, b) in zip(texts, whole):
+            assert analyse_text(text) == a and analyse_text(text, compat=True, source_lines=1) == b, (size, text)
+    monkeypatch.setattr(pyparse, "PIECE", 40)
+    assert max(len(f.tree.body) for f in pyparse.pieces(SHAPES * 50)) <= 4 and len(list(pyparse.pieces(BROKEN * 50))) > 50
+
+
+def test_a_long_file_is_one_file(spark):
+    """A file whose records come in several rows has one row in the graph and one docstring, and its lines go on."""
+    text = '"""Doc."""\n' + "".join(f"def f{i}():\n    return f{i + 1}()\n\n\n" for i in range(4000))
+    files = [("a.py", text), ("b.py", "def f4000(): pass\n"), ("c.py", text + "def broken(:\n")]
+    parsed = checkpointed(analyse(from_texts(spark.createDataFrame(files, "file string, text string"))))
+    assert parsed.where("file = 'a.py'").count() > 1
+    g = build_graph(parsed)
+    assert g["files"].count() == 3 and {r.path: r.docstring for r in g["modules"].collect()} == {"a.py": "Doc.", "b.py": "", "c.py": "Doc."}
+    assert {r.start_line for r in g["functions"].where("file = 'a.py'").collect()} == {2 + 4 * i for i in range(4000)}
+    assert g["calls"].count() == 2 * (2 * 3999 + 1)
+    row = summary(parsed).first()
+    assert (row.files, row.files_with_errors, row.functions) == (3, 1, 8001)
+
+
 PROJECT = {
     "src/app/__init__.py": '"""The package."""\n',
     "src/app/utils.py": "def helper():\n    return 1\n\n\ndef again():\n    return helper()\n",
@@ -236,6 +267,27 @@ def test_same_names_fan_out(spark):
     assert g["calls"].count() == 2 * 2 * 2
 
 
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_common_names_meet_in_blocks(spark, monkeypatch, block):
+    """Many functions of one name in a file, or in many files: every pair once, whatever the size of a block."""
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    rows = [("a.py", "def f():\n    g()\n    gone()\n\n\n" * 7 + "def g(): pass\n")] + [(f"{i}.py", "def g():\n    f()\n") for i in range(5)]
+    g = build_graph(checkpointed(analyse(from_texts(spark.createDataFrame(rows, "file string, text string")))))
+    assert g["calls"].count() == g["calls"].distinct().count() == 7 * 7 * 6 + 5 * 7
+    assert dangling_edges(g.replaced(functions=g["functions"].where("name = 'f'"))).where("table = 'calls'").first().n == 7 * 7 * 6 + 5 * 7
+
+
+def test_ends_are_filtered_before_calls_are_multiplied(spark):
+    """A filter on either end of the calls goes below the joins that multiply them: it is not applied to every pair."""
+    files = spark.createDataFrame([("a.py", "def f():\n    g()\n" * 3 + "def g(): pass\n")], "file string, text string")
+    g = build_graph(checkpointed(analyse(from_texts(files))))
+    for end in ("src", "dst"):
+        kept = g["calls"].join(g["functions"].where("start_line > 3").select(F.col("id").alias(end)), end, "left_semi")
+        plan = [line.strip(" :+-") for line in kept._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+        assert plan[0].startswith(("Union", "Project")) and not any(p.startswith("Join LeftSemi") for p in plan[:3]), plan[:5]
+        assert kept.count() == {"src": 3, "dst": 9}[end]
+
+
 def test_inherits_scopes(spark):
     rows = [("1", "A", "x.py", 1, []), ("2", "A", "y.py", 1, []), ("3", "B", "y.py", 9, ["A", "Gone"]), ("4", "C", "z.py", 2, ["A"])]
     df = spark.createDataFrame(rows, "id string, name string, file string, start_line long, bases array<string>")
